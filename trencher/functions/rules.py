@@ -56,7 +56,8 @@ class RuleTable:
     def output(self, number: Column, column: str) -> Column:
         position = self.columns.index(column)
         values = [_cell(r.out, position) for r in self.rules]
-        found = F.element_at(F.array(*(F.lit(v) for v in values)), number)
+        # The plain lookup is typed non-null under ANSI even where the number is null.
+        found = F.try_element_at(F.array(*(F.lit(v) for v in values)), number)
         if self.default is not None:
             found = F.coalesce(found, F.lit(_cell(self.default, position)))
         kind = self.types.get(column)

@@ -121,12 +121,11 @@ def sort_keys(sort: str, tie: str = "item_id") -> list[Column]:
 def favourite_keys(sort: str, tie: str = "item_id") -> list[Column]:
     """Sorts of a saved list: unknown values get sentinels instead of going last."""
     keys = {
-        "carbs": F.coalesce("carbs", F.lit(999)).asc(),
+        "carbsAsc": F.coalesce("carbs", F.lit(999)).asc(),
         "carbsDesc": F.coalesce("carbs", F.lit(0)).desc(),
         "grade": F.coalesce("score", F.lit(-1)).desc(),
-        "name": F.collate("display_name", "UNICODE").asc(),
     }
-    return [keys.get(sort, keys["name"]), F.col(tie)]
+    return [keys[sort], F.col(tie)] if sort in keys else [F.col(tie)]
 
 
 def page(df: DataFrame, visible: int = PAGE, offset: int = 0) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("browse",)
+MODULES = ("browse", "structure")
 
 
 def load_queries() -> None:

@@ -187,12 +187,12 @@ def browse_category_filter(cat):
     f"(SELECT '{n}' AS mode, item_id, position FROM (SELECT item_id, row_number() OVER (ORDER BY {o}, item_id) AS position FROM scored) WHERE position <= 48)"
     for n, o in (("carbsAsc", "carbs ASC NULLS LAST"), ("carbsDesc", "carbs DESC NULLS LAST"), ("caloriesAsc", "calories ASC NULLS LAST"),
                  ("caloriesDesc", "calories DESC NULLS LAST"), ("grade", "score DESC NULLS LAST"),
-                 ("favourite-carbs", "coalesce(carbs, 999)"), ("favourite-carbsDesc", "coalesce(carbs, 0) DESC"), ("favourite-grade", "coalesce(score, -1) DESC"))))
+                 ("favourite-carbsAsc", "coalesce(carbs, 999)"), ("favourite-carbsDesc", "coalesce(carbs, 0) DESC"), ("favourite-grade", "coalesce(score, -1) DESC"))))
 def sort_modes(cat):
     """Every numeric sort; one page of each with its position."""
     shown = browse.with_display(cat.wide)
     keys = {m: browse.sort_keys(m) for m in browse.SORTS if m != "name"}
-    keys |= {f"favourite-{m}": browse.favourite_keys(m) for m in ("carbs", "carbsDesc", "grade")}
+    keys |= {f"favourite-{m}": browse.favourite_keys(m) for m in ("carbsAsc", "carbsDesc", "grade")}
     out = None
     for mode, order in keys.items():
         first = browse.page(shown.orderBy(*order))
