@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trencher.functions.numeric import zero_if_null
+from trencher.functions.rules import present
 from trencher.functions.text import clean_display, display_name
 from trencher.functions.vocab import alcohol as A
+from trencher.functions.vocab import drinks as D
+from trencher.functions.vocab.foods import FOOD_TYPES
 
 # Patterns on lower-cased text.
 HEADER_WORDS = r"^(choose|select|pick|build|create|customize|make it yours)\b"
@@ -143,3 +146,78 @@ def canonical_park_name(name: Column) -> Column:
         .when(key == "walt disney world parks", "Walt Disney World Specialty Carts")
         .otherwise(name)
     )
+
+
+def any_pair(text: Column, pairs) -> Column:
+    """True where some pattern matches and its own exclusion does not."""
+    out = F.lit(False)
+    for include, exclude in pairs:
+        test = text.rlike(include)
+        out = out | (test & ~text.rlike(exclude) if exclude else test)
+    return out
+
+
+def gap_aware_alcoholic() -> Column:
+    """Drink test that also reads place, category and the energy the macros cannot explain."""
+    name, place = F.lower("name"), F.lower(F.coalesce("restaurant_name", F.lit("")))
+    fat, protein, carbs, calories = (zero_if_null(F.col(c)) for c in ("fat", "protein", "carbs", "calories"))
+    implied = protein * 4 + carbs * 4 + fat * 9
+    over = F.when(implied > 0, calories / implied).otherwise(F.lit(0.0))
+    drink = F.col("category") == "beverage"
+    return (
+        any_pair(name, D.GAP_AWARE)
+        | (name.rlike(r"\btop shelf\b") & place.rlike(D.TOP_SHELF_PLACE))
+        | (name.rlike(D.DRAFT_NAME) & ~name.rlike(D.DRAFT_NOT) & (drink | place.rlike(D.DRAFT_PLACE)))
+        | (place.rlike(D.BAR_LIKE) & ((fat < 5) | name.rlike("punch") | (name.rlike("flight") & ~name.rlike("chicken flight"))))
+        | (drink & (fat <= 1) & (protein <= 2) & (calories > 100))
+        | ((fat == 0) & (calories > 100) & (((protein <= 2) & (over > 1.5)) | ((protein <= 15) & (over > 2.0))))
+    )
+
+
+def beverage_by_name(name: Column) -> Column:
+    return any_pair(F.lower(name), D.BEVERAGE_NAMES)
+
+
+def dish_is_drink() -> Column:
+    return (F.col("category") == "beverage") | any_pair(F.lower("name"), D.DISH_NOT_DRINK)
+
+
+def simple_drink() -> Column:
+    name, place = F.lower("name"), F.lower(F.coalesce("restaurant_name", F.lit("")))
+    return (
+        (F.col("category") == "beverage")
+        | (name.rlike(D.SIMPLE_INCLUDE) & ~name.rlike(D.SIMPLE_EXCLUDE))
+        | place.rlike(D.SIMPLE_PLACE)
+    )
+
+
+def with_food_types(df: DataFrame, text: Column | None = None) -> DataFrame:
+    """Adds ``food_types``: every matching type in order, with a generic type as the fallback.
+
+    The "bare" types look at what matched before them, so the array grows in
+    projected steps instead of nested copies of one expression.
+    """
+    if text is None:
+        text = F.lower(F.concat_ws(" ", "name", F.coalesce("description", F.lit(""))))
+    df = df.withColumn("_t", text).withColumn("food_types", F.array().cast("array<string>"))
+
+    def hit(include: str, exclude: str | None) -> Column:
+        test = F.col("_t").rlike(include)
+        return test & ~F.col("_t").rlike(exclude) if exclude else test
+
+    batch: list[Column] = []
+    for label, include, exclude, group in FOOD_TYPES:
+        if group == "bare":
+            if batch:
+                df = df.withColumn("food_types", F.concat("food_types", present(*batch)))
+                batch = []
+            fires = (F.size("food_types") == 0) & hit(include, exclude)
+            df = df.withColumn("food_types", F.when(fires, F.array(F.lit(label))).otherwise(F.col("food_types")))
+        else:
+            batch.append(F.when(hit(include, exclude), F.lit(label)))
+    df = df.withColumn("food_types", F.concat("food_types", present(*batch)))
+    generic = F.col("category").isin("dessert", "beverage", "entree", "side", "snack")
+    return df.withColumn(
+        "food_types",
+        F.when((F.size("food_types") == 0) & generic, F.array(F.concat("category", F.lit("_generic")))).otherwise(F.col("food_types")),
+    ).drop("_t")

@@ -12,8 +12,8 @@ from trencher.functions.text import canonical_key, clean_display, file_slug, slu
 LEVELS = ("resort", "category", "venue", "area", "restaurant")
 
 
-def _venue_name(park: Column) -> Column:
-    key, cleaned = canonical_key(park), clean_display(park)
+def _venue_name(park: Column, key: Column) -> Column:
+    cleaned = clean_display(park)
     return (
         F.when(park.isNull(), "Unknown Destination")
         .when(key == "universal epic universe", "Universal Epic Universe")
@@ -30,15 +30,15 @@ def location_keys(wide: DataFrame) -> DataFrame:
         "resort_id": "other", "resort_name": "Other Destinations", "resort_no": len(taxonomy.TAXONOMY),
         "category_id": "destinations", "category_label": "Destinations", "category_no": 0,
     })
-    df = wide.withColumns(where)
+    df = wide.withColumns({**where, "park_key": canonical_key(park)})
     df = df.withColumns({
-        "venue_name": _venue_name(park),
+        "venue_name": _venue_name(park, F.col("park_key")),
         "venue_no": taxonomy.venue_position(park, F.col("resort_id"), F.col("category_id")),
         "area_name": F.coalesce(F.nullif(F.trim("land"), F.lit("")), F.lit("Dining Locations")),
         "place_name": F.coalesce(F.nullif(F.trim("restaurant_name"), F.lit("")), F.lit("Unknown Restaurant")),
     })
     df = df.withColumn(
-        "venue_id", F.concat(F.lit("venue-"), slug(F.coalesce(F.when(park.isNotNull(), canonical_key(park)), F.col("venue_name"))))
+        "venue_id", F.concat(F.lit("venue-"), slug(F.coalesce(F.when(park.isNotNull(), F.col("park_key")), F.col("venue_name"))))
     )
     df = df.withColumn("area_id", F.concat("venue_id", F.lit(":"), slug(F.col("area_name"))))
     return df.withColumn(
@@ -50,13 +50,15 @@ def location_keys(wide: DataFrame) -> DataFrame:
 def location_counts(wide: DataFrame) -> DataFrame:
     """Item counts at every level of the hierarchy: one row per node.
 
-    Items are first counted per restaurant node; only those few rows go through
-    the five-level rollup, so the rollup's row expansion never touches items.
+    Items are first counted per place; only those few rows are named, classified
+    and put through the five-level rollup, so neither the text work nor the
+    rollup's row expansion touches items.
     """
     leaf_keys = ("resort_no", "resort_id", "resort_name", "category_no", "category_id", "category_label",
                  "venue_id", "area_id", "place_id")
-    leaves = location_keys(wide).groupBy(*leaf_keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("venue_no").alias("venue_no"), F.min("venue_name").alias("venue_name"),
+    places = wide.groupBy("park_name", "land", "restaurant_id", "restaurant_name").agg(F.count(F.lit(1)).alias("n"))
+    leaves = location_keys(places).groupBy(*leaf_keys).agg(
+        F.sum("n").alias("n"), F.min("venue_no").alias("venue_no"), F.min("venue_name").alias("venue_name"),
         F.min("area_name").alias("area_name"), F.min("place_name").alias("place_name"),
     )
     resort = F.struct("resort_no", "resort_id", "resort_name").alias("resort")

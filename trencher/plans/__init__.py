@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("browse", "structure")
+MODULES = ("browse", "structure", "audits")
 
 
 def load_queries() -> None:
