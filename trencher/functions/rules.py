@@ -24,10 +24,13 @@ class Rule:
     exclude: str | None = None
     category: tuple[str, ...] | None = None
     scope: str = "text"  # "text" or "name": which of the two inputs is matched
+    also: str | None = None  # second pattern that has to match as well
 
     def condition(self, text: Column, name: Column | None = None, category: Column | None = None) -> Column:
         target = name if self.scope == "name" and name is not None else text
         test = target.rlike(self.include) if self.include else F.lit(True)
+        if self.also:
+            test = test & target.rlike(self.also)
         if self.exclude:
             test = test & ~target.rlike(self.exclude)
         if self.category is not None and category is not None:
