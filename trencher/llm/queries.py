@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trencher.llm import packing
+from trencher.llm import packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,3 +32,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def best_fit_packing(spark, folder):
     pieces = packing.token_pieces(table(spark, folder, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op7_simhash_near_dedup")
+def simhash_near_dedup(spark, folder):
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
