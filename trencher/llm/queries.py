@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trencher.llm import decontaminate, packing, simhash
+from trencher.llm import chat, decontaminate, packing, quality_rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,3 +45,44 @@ def benchmark_decontamination(spark, folder):
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OWN_CONVERSATION = [(-7, turn, role, r"\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))]
+
+
+@query("op4_prefix_target_expansion", r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(14 + length(role) + length(text) + (length(text) - length(replace(text, '\', '')))
+    + (length(text) - length(replace(text, '</turn>', ''))) / 7 + (length(text) - length(replace(text, '### ', ''))) / 4) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""")
+def prefix_target_expansion(spark, folder):
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame(OWN_CONVERSATION, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_turns(given.unionByName(own)))
+
+
+@query("op5_host_quality_rules", r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS pos FROM w WHERE len(words) >= 3),
+r AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, words[pos], words[pos + 1], words[pos + 2]) AS n FROM g) WHERE n >= 2),
+rep AS (SELECT doc_id, count(DISTINCT pos + k) AS n_repeat_words FROM r, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+f AS (SELECT w.doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+h AS (SELECT source, unnest([{'k': 1, 'x': count(*) FILTER (n_words < 50)}, {'k': 2, 'x': count(*) FILTER (100 * n_repeat_words > 50 * n_words)},
+  {'k': 3, 'x': count(*) FILTER (10 * n_symbols > n_words)}, {'k': 4, 'x': count(*) FILTER (10 * n_dup_lines > 3 * n_lines)}], recursive := true), count(*) AS n FROM v GROUP BY source),
+m AS (SELECT k, sum(x)::DOUBLE / sum(n) AS m, sum(n)::DOUBLE AS pages, count(*) AS hosts FROM h GROUP BY k),
+s AS (SELECT k, any_value(m) AS m, sum(n * (x::DOUBLE / n - m) ** 2) / any_value(pages) - any_value(m * (1 - m) * hosts / pages) AS beyond FROM h JOIN m USING (k) GROUP BY k),
+p AS (SELECT k, m, CASE WHEN beyond <= 0 THEN 1e6 ELSE least(1e6, greatest(1, m * (1 - m) / beyond - 1)) END AS weight FROM s),
+rate AS (SELECT source, max((x + m * weight) / (n + weight)) AS host_rate FROM h JOIN p USING (k) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rate <= 0.5 AS kept
+FROM v JOIN rate ON v.source IS NOT DISTINCT FROM rate.source""")
+def host_quality_rules(spark, folder):
+    found = quality_rules.judged(table(spark, folder, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
