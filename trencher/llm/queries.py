@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trencher.llm import chat, decontaminate, packing, quality_rules, simhash
+from trencher.llm import chat, class_lm, decontaminate, packing, quality_rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,3 +86,9 @@ FROM v JOIN rate ON v.source IS NOT DISTINCT FROM rate.source""")
 def host_quality_rules(spark, folder):
     found = quality_rules.judged(table(spark, folder, "documents"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op8_brown_class_lm")
+def brown_class_lm(spark, folder):
+    found = class_lm.scores(table(spark, folder, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
