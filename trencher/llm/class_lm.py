@@ -27,7 +27,7 @@ from trencher.llm.shared import stored, text_or_empty, type_of
 
 CLASSES = 16
 CORE = 1000
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 4_000_000
 FLUSH_WORDS = 500_000
 SWEEPS = 20
 EMISSION, TRANSITION = 1.0, 0.5
@@ -91,12 +91,27 @@ def coded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_tok
         run, f"block long, words array<string>, n_train array<long>, doc_ids array<{kind}>, held array<boolean>, sizes array<int>, codes binary")
 
 
-def _streams(row: dict, of_word, boundary: int):
+def _lists(batch, name: str):
+    """The lists of a column, one Arrow array a row."""
+    return [x.values for x in batch.column(name)]
+
+
+def _numbered(words, core: list[str], numbers, other: int):
+    """The number of each word that is in the core; ``other`` for the rest."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    at = pc.index_in(words, value_set=pa.array(core, pa.string())).fill_null(len(core)).to_numpy(zero_copy_only=False)
+    return np.append(np.array(numbers, np.int64), other)[at]
+
+
+def _streams(codes: bytes, sizes, held, of_word, boundary: int):
     """Training texts of a block as classes (or ids) with a boundary before the first, between any two and after the last, and each one's code (-1)."""
     import numpy as np
 
-    codes = np.frombuffer(row["codes"], np.uint32).astype(np.int64)
-    sizes, train = np.array(row["sizes"], np.int64), ~np.array(row["held"], bool)
+    codes = np.frombuffer(codes, np.uint32).astype(np.int64)
+    sizes, train = sizes.to_numpy().astype(np.int64), ~held.to_numpy(zero_copy_only=False).astype(bool)
     codes, sizes = codes[np.repeat(train, sizes)], sizes[train]
     at = np.arange(len(codes)) + np.repeat(np.arange(len(sizes)), sizes) + 1
     own = np.full(len(codes) + len(sizes) + 1, -1, np.int64)
@@ -104,8 +119,13 @@ def _streams(row: dict, of_word, boundary: int):
     return np.where(own < 0, boundary, of_word[own] if len(of_word) else boundary), own
 
 
-def _pair_counts(blocks: DataFrame, core: dict[str, int], other: int, boundary: int) -> DataFrame:
-    """``pair, n``: how often id ``pair % size`` follows id ``pair // size`` in training texts."""
+def _blocks_of(batch):
+    return zip(_lists(batch, "words"), batch.column("codes").to_pylist(), _lists(batch, "sizes"), _lists(batch, "held"))
+
+
+def _pair_counts(blocks: DataFrame, core: list[str]) -> DataFrame:
+    """``pair, n``: how often id ``pair % size`` follows id ``pair // size`` in training texts; after the core's ids come other words and the boundary."""
+    other, boundary = len(core), len(core) + 1
     size = boundary + 1
 
     def run(batches):
@@ -113,9 +133,8 @@ def _pair_counts(blocks: DataFrame, core: dict[str, int], other: int, boundary:
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
-                of_word = np.fromiter((core.get(w, other) for w in row["words"]), np.int64, len(row["words"]))
-                ids, _ = _streams(row, of_word, boundary)
+            for words, codes, sizes, held in _blocks_of(batch):
+                ids, _ = _streams(codes, sizes, held, _numbered(words, core, range(len(core)), other), boundary)
                 pairs, n = np.unique(ids[:-1] * size + ids[1:], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], ["pair", "n"])
 
@@ -177,8 +196,8 @@ def exchange(pairs, classes: int, sweeps: int = SWEEPS):
     return own[:n], counts
 
 
-def _contexts(blocks: DataFrame, core: dict[str, int], classes: int) -> DataFrame:
-    """``word, contexts, counts``: for words outside the core, how often each class came before (its number) and after (more by ``classes + 2``).
+def _contexts(blocks: DataFrame, core: list[str], of_core: list[int], classes: int) -> DataFrame:
+    """``word, found``: for words outside the core, a number ``context << 48 | n`` for each class before (its number) and after (more by ``classes + 2``).
 
     Neighbours outside the core say nothing and are left out; a task adds up its
     blocks and passes the sums on whenever it has many words.
@@ -189,39 +208,35 @@ def _contexts(blocks: DataFrame, core: dict[str, int], classes: int) -> DataFram
         import numpy as np
         import pyarrow as pa
 
-        words, keys, sums = _Codes(), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
         def passed_on():
-            names = np.array(list(words), object)
+            names = np.array(list(known), object)
             word, first = np.unique(keys // (2 * span), return_index=True)
-            ends = np.append(first, len(keys)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in ((keys % (2 * span)).astype(np.int32), sums)]
-            return pa.RecordBatch.from_arrays([pa.array(names[word].tolist(), pa.string()), *lists], ["word", "contexts", "counts"])
+            found = pa.ListArray.from_arrays(pa.array(np.append(first, len(keys)).astype(np.int32)), pa.array((keys % (2 * span) << 48) | sums))
+            return pa.RecordBatch.from_arrays([pa.array(names[word].tolist(), pa.string()), found], ["word", "found"])
 
+        known, keys, sums = _Codes(), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
-                of_word = np.fromiter((core.get(w, other) for w in row["words"]), np.int64, len(row["words"]))
-                ids, codes = _streams(row, of_word, boundary)
-                found = np.nonzero(ids == other)[0]
-                local = codes[found]
-                key = np.concatenate([local * 2 * span + ids[found - 1], local * 2 * span + span + ids[found + 1]])
+            for words, codes, sizes, held in _blocks_of(batch):
+                ids, own = _streams(codes, sizes, held, _numbered(words, core, of_core, other), boundary)
+                at = np.nonzero(ids == other)[0]
+                local = own[at] * 2 * span
+                key = np.concatenate([local + ids[at - 1], local + span + ids[at + 1]])
                 key, n = np.unique(key[key % span != other], return_counts=True)
-                used, at = np.unique(key // (2 * span), return_inverse=True)
-                task = np.fromiter((words[row["words"][u]] for u in used.tolist()), np.int64, len(used))
-                both = np.concatenate([keys, task[at] * 2 * span + key % (2 * span)])
-                keys, back = np.unique(both, return_inverse=True)
+                used, back = np.unique(key // (2 * span), return_inverse=True)
+                task = np.fromiter(map(known.__getitem__, words.take(pa.array(used)).to_pylist()), np.int64, len(used))
+                keys, back = np.unique(np.concatenate([keys, task[back] * 2 * span + key % (2 * span)]), return_inverse=True)
                 sums = np.bincount(back, weights=np.concatenate([sums, n]), minlength=len(keys)).astype(np.int64)
-                if len(words) > FLUSH_WORDS:
+                if len(known) > FLUSH_WORDS:
                     yield passed_on()
-                    words, keys, sums = _Codes(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    known, keys, sums = _Codes(), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(keys):
             yield passed_on()
 
-    return blocks.select("words", "held", "sizes", "codes").mapInArrow(run, "word string, contexts array<int>, counts array<long>")
+    return blocks.select("words", "held", "sizes", "codes").mapInArrow(run, "word string, found array<long>")
 
 
 def _steps(contexts: DataFrame, counts, classes: int) -> DataFrame:
-    """``word, class`` by one exchange step of each word; ``contexts`` has each word once, with ``found`` (context, n)."""
+    """``word, class`` by one exchange step of each word, from all its rows of ``contexts``."""
     import numpy as np
 
     span = classes + 2
@@ -231,15 +246,34 @@ def _steps(contexts: DataFrame, counts, classes: int) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        for batch in batches:
-            best = []
-            for row in batch.column("found").to_pylist():
-                at = [x["context"] for x in row]
-                best.append(int((np.array([x["n"] for x in row], float) @ gain[at]).argmax()))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(best, pa.int32())], ["word", "class"])
+        def best(words, score):
+            return pa.RecordBatch.from_arrays([words, pa.array(score.argmax(1), pa.int32())], ["word", "class"])
 
-    return contexts.select("word", "found").mapInArrow(run, "word string, class int")
+        last, open_score = None, None  # the rows of a word may go on in the next batch
+        for batch in batches:
+            words, found = batch.column("word"), batch.column("found")
+            if not len(words):
+                continue
+            fresh = np.append(True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False).astype(bool))
+            group = np.cumsum(fresh) - 1
+            entries = found.flatten().to_numpy()
+            of_entry = np.repeat(group, pc.list_value_length(found).to_numpy())
+            n = (entries & ((1 << 48) - 1)).astype(float)
+            score = np.stack([np.bincount(of_entry, weights=n * gain[entries >> 48, k], minlength=group[-1] + 1) for k in range(classes)], 1)
+            firsts = words.take(pa.array(np.nonzero(fresh)[0]))
+            if last is not None:
+                if firsts[0].as_py() == last:
+                    score[0] += open_score
+                else:
+                    yield best(pa.array([last], pa.string()), open_score[None])
+            yield best(firsts[:-1], score[:-1])
+            last, open_score = firsts[-1].as_py(), score[-1]
+        if last is not None:
+            yield best(pa.array([last], pa.string()), open_score[None])
+
+    return contexts.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, class int")
 
 
 def _emissions(joined: DataFrame, of_class, n_end: int, total: int, types: int, alpha: float, kind: str) -> DataFrame:
@@ -254,27 +288,26 @@ def _emissions(joined: DataFrame, of_class, n_end: int, total: int, types: int,
         import pyarrow as pa
 
         for batch in batches:
-            ids_kind = batch.schema.field("doc_ids").type.value_type
-            for row in batch.to_pylist():
-                n, cls = np.zeros(len(row["words"])), np.full(len(row["words"]), UNKNOWN, np.uint8)
-                own = row["known"] or []
-                at = np.fromiter((x["code"] for x in own), np.int64, len(own))
-                n[at] = np.fromiter((x["n"] for x in own), np.float64, len(own))
-                cls[at] = np.fromiter((x["class"] for x in own), np.uint8, len(own))
+            columns = [_lists(batch, c) for c in ("doc_ids", "held", "sizes", "places", "counts")]
+            for types_here, codes, ids, held, sizes, places, counts in zip(batch.column("n_types").to_pylist(), batch.column("codes").to_pylist(), *columns):
+                n, cls = np.zeros(types_here), np.full(types_here, UNKNOWN, np.uint8)
+                if places is not None:
+                    place = places.to_numpy()
+                    n[place >> 8] = counts.to_numpy()
+                    cls[place >> 8] = place & 255
                 known = cls != UNKNOWN
                 emit = np.zeros(len(n))
                 emit[known] = np.log10(n[known] + alpha) - norm[cls[known]]
-                codes, sizes = np.frombuffer(row["codes"], np.uint32), np.array(row["sizes"], np.int64)
+                codes, sizes = np.frombuffer(codes, np.uint32), sizes.to_numpy().astype(np.int64)
                 which = np.repeat(np.arange(len(sizes)), sizes)
                 add = lambda v: np.bincount(which, weights=v[codes], minlength=len(sizes))  # noqa: E731, B023
-                ends = np.cumsum(sizes)
-                path = cls[codes]
+                path, ends = cls[codes], np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], ids_kind), pa.array(row["held"], pa.bool_()), pa.array(sizes + 1), pa.array((add(known) + (n_end > 0)).astype(np.int64)),
-                     pa.array(add(base(n)) + base(n_end)), pa.array(add(emit)), pa.array([path[e - s:e].tobytes() for s, e in zip(sizes, ends)], pa.binary())],
+                    [ids, held, pa.array(sizes + 1), pa.array((add(known) + (n_end > 0)).astype(np.int64)), pa.array(add(base(n)) + base(n_end)),
+                     pa.array(add(emit)), pa.array([path[e - s:e].tobytes() for s, e in zip(sizes, ends)], pa.binary())],
                     ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "emission", "path"])
 
-    return joined.select("words", "doc_ids", "held", "sizes", "codes", "known").mapInArrow(
+    return joined.select(F.size("words").alias("n_types"), "doc_ids", "held", "sizes", "codes", "places", "counts").mapInArrow(
         run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, emission double, path binary")
 
 
@@ -335,16 +368,10 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes:
     total, types = n_words + n_end, types + (n_end > 0)
 
     top = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(core).collect()]
-    ids = {w: i for i, w in enumerate(top)}
-    pairs = _matrix(_pair_counts(blocks, ids, len(top), len(top) + 1), len(top) + 2)
-    found, class_counts = exchange(pairs, classes)
-    of_core = {w: int(c) for w, c in zip(top, found)}
-
-    spread = _contexts(blocks, of_core, classes).select("word", F.inline(F.arrays_zip("contexts", "counts")))
-    spread = spread.repartition("word").groupBy("word", F.col("contexts").alias("context")).agg(F.sum("counts").alias("n"))
-    per_word = spread.groupBy("word").agg(F.collect_list(F.struct("context", "n")).alias("found"))  # two entries a class at most
-    stepped = _steps(per_word, class_counts, classes)
-    core_table = docs.sparkSession.createDataFrame([*of_core.items()], "word string, core_class int")
+    found, class_counts = exchange(_matrix(_pair_counts(blocks, top), len(top) + 2), classes)
+    of_core = found.tolist()
+    stepped = _steps(_contexts(blocks, top, of_core, classes), class_counts, classes)
+    core_table = docs.sparkSession.createDataFrame([*zip(top, of_core)], "word string, core_class int")
     neutral = int(np.argmax(class_counts[:classes].sum(1)))  # for a word that only ever stands between words outside the core
     vocabulary = counts.join(stepped, "word", "left").join(F.broadcast(core_table), "word", "left")
     vocabulary = stored(vocabulary.select("word", "n", F.coalesce("core_class", "class", F.lit(neutral)).alias("class")), "vocabulary")
@@ -352,7 +379,9 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes:
     n_class, v_class = np.zeros(classes), np.zeros(classes)
     for r in vocabulary.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         n_class[r["class"]], v_class[r["class"]] = r["n"], r["v"]
-    known = words.join(vocabulary, words["words"] == vocabulary["word"]).groupBy("block").agg(F.collect_list(F.struct("code", "n", "class")).alias("known"))
+    place = F.shiftleft(F.col("code").cast("long"), 8) + F.col("class")
+    known = words.join(vocabulary, words["words"] == vocabulary["word"]).select("block", place.alias("place"), "n")
+    known = known.groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("n").alias("counts"))  # one of each a word of the block
     paths = stored(_emissions(blocks.join(known, "block", "left"), (n_class, v_class), n_end, total, types, alpha, type_of(docs, doc_id)), "paths")
 
     moves = _matrix(_transitions(paths, classes), classes + 1) + beta
