@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trencher.llm import chat, class_lm, decontaminate, packing, quality_rules, simhash
+from trencher.llm import (chat, class_lm, decontaminate, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash,
+                          token_shards)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,3 +93,34 @@ def host_quality_rules(spark, folder):
 def brown_class_lm(spark, folder):
     found = class_lm.scores(table(spark, folder, "documents"))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op2_site_relative_line_dedup", r"""WITH d AS (SELECT doc_id, source, text FROM documents),
+l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d WHERE text IS NOT NULL),
+b AS (SELECT doc_id, source, line, pos, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM l),
+pages AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
+f AS (SELECT source, bare FROM (SELECT source, bare, count(DISTINCT doc_id) AS n FROM b WHERE bare <> '' GROUP BY source, bare) JOIN pages USING (source) WHERE n >= 5 AND n > 0.1::DOUBLE * pages),
+k AS (SELECT doc_id, line, pos, f.bare IS NULL AS kept FROM b LEFT JOIN f ON b.source = f.source AND b.bare = f.bare)
+SELECT doc_id, count(*) FILTER (NOT kept) AS lines_dropped, CAST(length(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '')) AS BIGINT) AS n_chars,
+  md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '')) AS text_md5 FROM k GROUP BY doc_id""")
+def site_relative_line_dedup(spark, folder):
+    found = line_dedup.without_boilerplate(table(spark, folder, "documents"))
+    return found.select("doc_id", "lines_dropped", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query("op3_feistel_token_shards")
+def feistel_token_shards(spark, folder):
+    written = token_shards.shards(token_shards.sequences(table(spark, folder, "documents")))
+    return token_shards.records(written).select("doc_id", "piece", "slot", "shard", "byte_offset", F.col("length").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op6_hierarchical_bayes_quality")
+def hierarchical_bayes_quality(spark, folder):
+    found = quality_classifier.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select("doc_id", "low_quality", "toxic", "kept")
+
+
+@query("op9_extendible_hash_shards")
+def extendible_hash_shards(spark, folder):
+    found = sharding.sharded(table(spark, folder, "documents"))
+    return found.select("doc_id", "shard", "depth", "n_bytes", "shard_bytes", F.crc32("text").alias("text_crc32"))
