@@ -116,7 +116,7 @@ def feistel_token_shards(spark, folder):
 
 @query("op6_hierarchical_bayes_quality")
 def hierarchical_bayes_quality(spark, folder):
-    found = quality_classifier.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    found = quality_classifier.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return found.select("doc_id", "low_quality", "toxic", "kept")
 
 
