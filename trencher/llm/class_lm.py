@@ -27,7 +27,7 @@ from trencher.llm.shared import stored, text_or_empty, type_of
 
 CLASSES = 16
 CORE = 1000
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 FLUSH_WORDS = 500_000
 SWEEPS = 20
 EMISSION, TRANSITION = 1.0, 0.5
