@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -79,3 +79,8 @@ def _cell(out: Any, position: int) -> Any:
 def present(*items: Column) -> Column:
     """Array of the non-null items, order kept: the shape of every multi-valued check."""
     return F.filter(F.array(*items), lambda x: x.isNotNull())
+
+
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns computed once: filters and further columns cannot be merged into a generator's output."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))

@@ -30,15 +30,18 @@ def collapse_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, rf"[{SPACE}]+", " "))
 
 
+#: The edge of a word of ASCII letters, digits and underscores, whatever the JVM takes for ``\\b``.
+EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
 def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]*>", "")
 
 
 def _decoded(entity: Column) -> Column:
     body = F.regexp_replace(entity, "^&|;$", "")
-    code = F.when(body.rlike("^#x"), F.conv(F.substring(body, 3, 20), 16, 10)).when(
-        body.startswith("#"), F.substring(body, 2, 20)
-    ).try_cast("bigint")
+    digits = F.regexp_replace(body, "^#x?0*", "")
+    code = F.when(body.rlike("^#x"), F.conv(digits, 16, 10)).when(body.startswith("#"), digits).try_cast("bigint")
     in_range = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     as_char = F.decode(F.unhex(F.lpad(F.hex(F.when(in_range, code)), 8, "0")), "UTF-32")
     named = F.create_map(*(F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair))
@@ -100,7 +103,7 @@ def chain_name(c: Column) -> Column:
 def _compat_letters() -> str:
     """Characters whose compatibility decomposition holds an ASCII letter, digit or apostrophe."""
     table = {}
-    for code in range(0x80, 0x10000):
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
         ch = chr(code)
         flat = unicodedata.normalize("NFKD", ch)
         if flat != ch and any(x.isascii() and (x.isalnum() or x == "'") for x in flat):
@@ -124,10 +127,10 @@ def decompose(c: Column) -> Column:
 def canonical_key(c: Column) -> Column:
     """Key under which two spellings of one name meet."""
     x = F.lower(decompose(clean_display(c)))
-    x = F.regexp_replace(x, r"[’']s\b", "")
+    x = F.regexp_replace(x, r"[’']s(?![A-Za-z0-9_])", "")
     x = F.regexp_replace(x, r"[’']", "")
-    x = F.regexp_replace(x, r"\buniversals\b", "universal")
-    x = F.regexp_replace(x, r"\bdisneys\b", "disney")
+    x = F.regexp_replace(x, rf"{EDGE}universals{EDGE}", "universal")
+    x = F.regexp_replace(x, rf"{EDGE}disneys{EDGE}", "disney")
     return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
 
 

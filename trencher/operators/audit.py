@@ -101,9 +101,11 @@ def check_accuracy(wide: DataFrame) -> DataFrame:
 
 
 def accuracy_fixes(findings: DataFrame) -> DataFrame:
+    """Fixes with ``check_no``, the place of their check among the accuracy checks."""
+    names = list(dict.fromkeys(c.name for c in accuracy_checks()))
     return findings.where("fixable").select(
         "nutrition_id", "field", F.col("current_value").cast("int").alias("before"), F.col("suggested_value").cast("int").alias("after"),
-        F.col("check_name").alias("reason"),
+        F.col("check_name").alias("reason"), F.array_position(F.array(*(F.lit(n) for n in names)), F.col("check_name")).cast("int").alias("check_no"),
     )
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trencher.functions.detect import display_category, section_header
+from trencher.functions.rules import bound
 from trencher.functions.scoring import grade, nutrition_score
 from trencher.functions.text import display_name
+from trencher.operators.dedupe import dedupe_items
 
 PAGE = 48
 SORTS = ("name", "carbsAsc", "carbsDesc", "caloriesAsc", "caloriesDesc", "grade")
@@ -59,12 +61,8 @@ PRESETS = {
 
 def with_display(wide: DataFrame) -> DataFrame:
     """Adds display name/category, score and grade."""
-    return (
-        wide.withColumn("display_name", display_name(F.col("name")))
-        .withColumn("display_category", display_category())
-        .withColumn("score", nutrition_score())
-        .withColumn("grade", grade(F.col("score")))
-    )
+    rows = bound(wide, display_name=display_name(F.col("name")), score=nutrition_score())
+    return bound(rows, display_category=display_category(), grade=grade(F.col("score")))
 
 
 def apply_filters(wide: DataFrame, allergens: DataFrame, spec: FilterSpec) -> DataFrame:
@@ -137,15 +135,20 @@ def next_visible(current: int, total: int, size: int = PAGE) -> int:
     return min(total, max(0, current) + size)
 
 
-def text_lookup(wide: DataFrame, needle: str, park_id: int | None = None, scan: int = 150) -> DataFrame:
-    """Case-insensitive substring lookup on name and description, first ``scan`` rows by name.
+#: Hits that a text lookup shows.
+LOOKUP_PAGE = 50
+
+
+def text_lookup(wide: DataFrame, needle: str, park_id: int | None = None, size: int = LOOKUP_PAGE) -> DataFrame:
+    """Case-insensitive substring lookup on name and description: all matches, headers dropped and copies merged, then a page of ``size`` by name.
 
     A literal ``contains`` needs no wildcard escaping.
     """
     df = wide.where(_mentions(needle.strip().lower(), "name", "description"))
     if park_id is not None:
         df = df.where(F.col("park_id") == park_id)
-    return df.orderBy("name", "item_id").limit(scan)
+    best = dedupe_items(df.where(~section_header(F.col("name")))).select("item_id")
+    return df.join(best, "item_id", "left_semi").orderBy("name", "item_id").limit(size)
 
 
 def seasonal_only(wide: DataFrame) -> DataFrame:

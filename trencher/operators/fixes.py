@@ -52,9 +52,9 @@ def phased(*phases: DataFrame, key: str = "nutrition_id") -> DataFrame:
     return out.join(first, [key, "phase"], "left_semi")
 
 
-def batch(fixes: DataFrame, order: str | None = None) -> DataFrame:
-    """One row per record: field map (the last fix of a field wins) and how many fixes it got."""
-    rank = F.struct(F.col(order) if order else F.col("reason"), F.col("after"))
+def batch(fixes: DataFrame, order: str = "check_no") -> DataFrame:
+    """One row per record: field map and how many fixes it got; of a field's fixes the one of the last check wins."""
+    rank = F.struct(F.col(order), F.col("after"))
     last = fixes.groupBy("nutrition_id", "field").agg(F.max_by("after", rank).alias("after"), F.count(F.lit(1)).alias("n"))
     return last.groupBy("nutrition_id").agg(
         F.map_from_entries(F.collect_list(F.struct("field", "after"))).alias("updates"), F.sum("n").alias("n_fixes")
@@ -62,13 +62,14 @@ def batch(fixes: DataFrame, order: str | None = None) -> DataFrame:
 
 
 def apply_batch(table: DataFrame, batched: DataFrame, fields=FIELDS, stamp: Column | None = None) -> DataFrame:
-    """New snapshot of ``table`` with the batched values; untouched rows keep theirs.
+    """New snapshot of ``table`` with the batched values, nulls among them; untouched rows keep theirs.
 
     ``stamp`` maintains an ``updated_at`` column on changed rows.
     """
     joined = table.join(batched.select("nutrition_id", "updates"), "nutrition_id", "left")
     out = joined.withColumns({
-        f: F.coalesce(F.try_element_at("updates", F.lit(f)), F.col(f)).cast(table.schema[f].dataType) for f in fields if f in table.columns
+        f: F.when(F.map_contains_key("updates", F.lit(f)), F.try_element_at("updates", F.lit(f))).otherwise(F.col(f)).cast(table.schema[f].dataType)
+        for f in fields if f in table.columns
     })
     if stamp is not None:
         old = F.col("updated_at") if "updated_at" in table.columns else F.col("created_at")

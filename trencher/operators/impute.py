@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trencher.functions.detect import dish_is_drink
 from trencher.functions.numeric import energy_of, missing, ratio, round_half_up, zero_if_null
-from trencher.functions.rules import RuleTable, present
+from trencher.functions.rules import RuleTable, bound, present
 from trencher.functions.vocab import dishes as DI
 from trencher.functions.vocab import impute as V
 from trencher.functions.vocab import pours as P
@@ -162,10 +162,10 @@ def dish_type() -> Column:
 
 
 def with_dish_profile(wide: DataFrame) -> DataFrame:
-    rows = wide.withColumn("dish_type", dish_type())
+    rows = bound(wide, dish_type=dish_type())
     kinds = list(DI.DISHES)
     at = F.array_position(F.array(*(F.lit(k) for k in kinds)), F.col("dish_type")).cast("int")
-    rows = rows.withColumn("_at", at)
+    rows = bound(rows, _at=at)
     return rows.withColumns({
         f: F.try_element_at(F.array(*(F.lit(DI.DISHES[k][i]) for k in kinds)), F.col("_at")) for i, f in enumerate(DI.DISH_FIELDS)
     }).drop("_at")
@@ -202,7 +202,7 @@ def ingredient_estimates(wide: DataFrame) -> DataFrame:
         for w in words:
             n = n + F.contains(description, F.lit(w)).cast("int")
         hits, expected = hits + n, expected + n * worth
-    rows = rows.withColumn("_hits", hits).withColumn("_expected", expected)
+    rows = bound(rows, _hits=hits, _expected=expected)
     floor = F.when(F.col("category") == "entree", 400).when(F.col("category") == "dessert", 200).when(F.col("category") == "snack", 150).otherwise(0)
     rows = rows.withColumn("_expected", F.greatest("_expected", floor))
     calories = F.col("calories")
@@ -211,7 +211,8 @@ def ingredient_estimates(wide: DataFrame) -> DataFrame:
     severe = F.when(by_name, calories < F.col("min_cal") * F.lit(0.5)).otherwise(calories < F.col("_expected") * F.lit(0.5))
     rows = rows.where(by_name | F.coalesce(by_text, F.lit(False)))
     factor = F.when(both_text().rlike(DI.FRIED_METHOD), 1.25).otherwise(1.0)
-    rows = rows.withColumn("new_calories", F.least(round_half_up((F.col("base") + ingredient_calories(description)) * factor), F.col("max_cal")))
+    rows = bound(rows, _added=ingredient_calories(description))
+    rows = bound(rows, new_calories=F.least(round_half_up((F.col("base") + F.col("_added")) * factor), F.col("max_cal")))
     new = F.col("new_calories")
     rows = rows.withColumns({
         "new_fat": round_half_up(new * F.col("fat_share") / 9), "new_carbs": round_half_up(new * F.col("carb_share") / 4),
@@ -388,14 +389,14 @@ def refine_alcohol(wide: DataFrame) -> DataFrame:
     wine = F.when(F.lit(False), 0)
     for i, (pattern, _) in enumerate(P.WINE_ABV, start=1):
         wine = wine.when(name.rlike(pattern) | (likely & desc.rlike(pattern)), i)
-    rows = wide.where((F.col("category") == "beverage") & (F.col("alcohol_grams") > 0)).withColumns({
-        "_shots_no": shots.first(name), "_beer_no": beers.first(F.regexp_replace(text, "ginger ale|root beer|birch beer", "")),
-        "_liqueur_no": liqueurs.first(text), "_wine_no": wine, "_desc_shots": described_shots(F.col("description")),
-    })
+    rows = bound(wide.where((F.col("category") == "beverage") & (F.col("alcohol_grams") > 0)),
+                 _shots_no=shots.first(name), _beer_no=beers.first(F.regexp_replace(text, "ginger ale|root beer|birch beer", "")),
+                 _liqueur_no=liqueurs.first(text), _wine_no=wine, _desc_shots=described_shots(F.col("description")),
+                 _beer_pour=pour_ounces(text, "beer"), _pour=F.when(text.rlike(P.SAKE), pour_ounces(text, "sake")).otherwise(pour_ounces(text, "wine")))
     recipe = shots.output(F.col("_shots_no"), "v")
     better = (F.col("_desc_shots") > recipe) & (F.col("_desc_shots") <= recipe * F.lit(1.5))
     wine_abv = F.try_element_at(F.array(*(F.lit(v) for _, v in P.WINE_ABV)), F.col("_wine_no"))
-    pour = F.when(text.rlike(P.SAKE), pour_ounces(text, "sake")).otherwise(pour_ounces(text, "wine"))
+    pour = F.col("_pour")
     irish, coffee = text.rlike("irish coffee"), text.rlike(P.LIQUEUR_COFFEE)
     food = name.rlike(P.FOOD_NOT_DRINK)
     method = (
@@ -407,11 +408,11 @@ def refine_alcohol(wide: DataFrame) -> DataFrame:
         F.when(food, 0).when(F.col("_shots_no").isNotNull(), grams_from_shots(F.when(better, F.col("_desc_shots")).otherwise(recipe)))
         .when(irish, grams_from_shots(F.lit(1.0)))
         .when(coffee, grams_from_volume(F.lit(1.5), F.coalesce(liqueurs.output(F.col("_liqueur_no"), "v"), F.lit(17.0))))
-        .when(F.col("_beer_no").isNotNull(), grams_from_volume(pour_ounces(text, "beer"), beers.output(F.col("_beer_no"), "v")))
+        .when(F.col("_beer_no").isNotNull(), grams_from_volume(F.col("_beer_pour"), beers.output(F.col("_beer_no"), "v")))
         .when(F.col("_desc_shots") > 0, grams_from_shots(F.col("_desc_shots")))
         .when(F.col("_wine_no").isNotNull(), grams_from_volume(pour, wine_abv))
     )
-    out = rows.select("item_id", "nutrition_id", method.alias("method"), F.col("alcohol_grams").alias("before"), grams.alias("after"))
+    out = bound(rows, method=method, after=grams).select("item_id", "nutrition_id", "method", F.col("alcohol_grams").alias("before"), "after")
     return out.where("after IS NOT NULL AND method <> 'food' AND after <> before")
 
 

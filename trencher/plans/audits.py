@@ -148,7 +148,7 @@ def accuracy_stats(cat):
 
 @query("accuracy_fixes", ACCURACY + "SELECT nutrition_id, field, cur AS before, sug AS after FROM acc WHERE fixable")
 def accuracy_fixes(cat):
-    return audit.accuracy_fixes(audit.check_accuracy(cat.wide)).drop("reason")
+    return audit.accuracy_fixes(audit.check_accuracy(cat.wide)).drop("reason", "check_no")
 
 
 @query("findings_tally", ACCURACY + "SELECT check_name, count(*) FILTER (severity = 'HIGH') AS HIGH, count(*) FILTER (severity = 'MEDIUM') AS MEDIUM, count(*) FILTER (severity = 'LOW') AS LOW FROM acc GROUP BY 1")

@@ -201,11 +201,6 @@ def sort_modes(cat):
     return out
 
 
-@query("text_lookup", """SELECT item_id, name FROM wide WHERE contains(lower(name), 'ch') OR contains(lower(description), 'ch') ORDER BY name, item_id LIMIT 150""")
-def text_lookup(cat):
-    return browse.text_lookup(cat.wide, "CH").select("item_id", "name")
-
-
 @query("seasonal_items", "SELECT item_id, name FROM wide WHERE is_seasonal")
 def seasonal_items(cat):
     return browse.seasonal_only(cat.wide).select("item_id", "name")

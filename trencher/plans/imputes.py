@@ -280,9 +280,11 @@ def snapped_estimates(cat):
     return impute.validated_estimates(cat.nutrition).select("nutrition_id", "calories")
 
 
-@query("fix_batches", """, f AS (SELECT nutrition_id, 'fiber' AS field, CAST(floor(carbs * 0.1::DOUBLE + 0.5) AS INT) AS after FROM wide WHERE fiber > carbs UNION ALL SELECT nutrition_id, 'sugar', carbs FROM wide WHERE sugar > carbs
- UNION ALL SELECT nutrition_id, 'sodium', CAST(floor(sodium / 10 + 0.5) AS INT) FROM wide WHERE sodium > 10000 UNION ALL SELECT nutrition_id, 'calories', 0 FROM wide WHERE calories < 0)
- SELECT nutrition_id, string_agg(field || '=' || after, ',' ORDER BY field) AS updates, count(*) AS n_fixes FROM f GROUP BY 1""")
+@query("fix_batches", """, f AS (SELECT nutrition_id, 'fiber' AS field, CAST(floor(carbs * 0.1::DOUBLE + 0.5) AS INT) AS after, 1 AS no FROM wide WHERE fiber > carbs UNION ALL SELECT nutrition_id, 'sugar', carbs, 2 FROM wide WHERE sugar > carbs
+ UNION ALL SELECT nutrition_id, 'sodium', CAST(floor(sodium / 10 + 0.5) AS INT), 3 FROM wide WHERE sodium > 10000
+ """ + " ".join(f"UNION ALL SELECT nutrition_id, '{c}', 0, 4 FROM wide WHERE {c} < 0" for c in ("calories", "carbs", "fat", "protein", "sugar", "fiber")) + """),
+ l AS (SELECT nutrition_id, field, arg_max(after, no) AS after, count(*) AS n FROM f WHERE nutrition_id IS NOT NULL GROUP BY ALL)
+ SELECT nutrition_id, string_agg(field || '=' || after, ',' ORDER BY field) AS updates, CAST(sum(n) AS BIGINT) AS n_fixes FROM l GROUP BY 1""")
 def fix_batches(cat):
     from trencher.operators import audit
 

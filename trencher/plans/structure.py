@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trencher.functions import taxonomy
 from trencher.functions.text import canonical_key
-from trencher.operators import aggregates, dedupe, hierarchy
+from trencher.operators import aggregates, browse, dedupe, hierarchy
 from trencher.plans.browse import DISPLAYED, SCORED
 from trencher.plans.catalogue import quoted
 from trencher.plans.registry import query
@@ -40,6 +40,16 @@ def best_copies(cat):
     return dedupe.dedupe_items(cat.wide).select("park_key", "item_key", "item_id", "first_seen", F.col("availability_count").cast("bigint").alias("availability_count"))
 
 
+@query("text_lookup", SCORED + f""", keyed AS (SELECT *, {PARK_KEY} AS park_key, {ITEM_KEY} AS item_key,
+ (CASE WHEN nutrition_id IS NOT NULL THEN 100 + {KNOWN} + coalesce(confidence_score, 0) / 100.0 ELSE 0 END) + (CASE WHEN photo_url <> '' THEN 10 ELSE 0 END)
+ + (CASE WHEN description <> '' THEN 3 ELSE 0 END) + (CASE WHEN price IS NOT NULL THEN 1 ELSE 0 END) AS pts FROM scored
+ WHERE NOT is_header AND (contains(lower(name), 'ch') OR contains(lower(description), 'ch'))),
+best AS (SELECT arg_min(item_id, (-round(pts * 100)::BIGINT) * 1000000000 + item_id) AS item_id FROM keyed GROUP BY park_key, item_key)
+SELECT item_id, name FROM keyed SEMI JOIN best USING (item_id) ORDER BY name, item_id LIMIT 50""")
+def text_lookup(cat):
+    return browse.text_lookup(cat.wide, "CH").select("item_id", "name")
+
+
 @query("availability", DISPLAYED + f"SELECT DISTINCT {PARK_KEY} AS park_key, {ITEM_KEY} AS item_key, trim(restaurant_name) AS restaurant FROM shown WHERE trim(restaurant_name) <> ''")
 def availability(cat):
     return dedupe.availability(cat.wide)
