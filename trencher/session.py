@@ -33,22 +33,3 @@ def local_session(app: str, cores: str = "*", shuffle_partitions: int = 8) -> Sp
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cutting lineage.
-
-    The cluster names it in ``spark.checkpoint.dir``; a machine-local folder is
-    only made where that is unset and the master is local (tests).
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="trencher-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
