@@ -38,3 +38,48 @@ def test_a_batch_can_null_a_field(spark):
     batch = spark.sql("SELECT 1L AS nutrition_id, map('calories', CAST(NULL AS INT)) AS updates")
     out = {r["nutrition_id"]: (r["calories"], r["fat"]) for r in fixes.apply_batch(table, batch, fields=("calories", "fat")).collect()}
     assert out == {1: (None, 3), 2: (20, 4)}
+
+
+def test_graduation(spark):
+    from trencher.operators import daily
+
+    def modes(days):
+        rows = [("d", i, *day) for i, day in enumerate(days)]
+        found = daily.graduation(spark.createDataFrame(rows, "dataset string, day int, high long, medium long, low long, auto_fixes long")).orderBy("day").collect()
+        return [(r["clean_days"], r["mode"]) for r in found]
+
+    clean, low, fixed, high = (0, 0, 0, 0), (0, 0, 9, 0), (0, 0, 0, 1), (1, 0, 0, 0)
+    assert modes([clean] * 13)[-1] == (13, "daily") and modes([clean] * 13 + [low])[-1] == (14, "weekly")
+    assert modes([clean] * 20 + [fixed])[-1] == (0, "weekly") and modes([clean] * 20 + [high])[-1] == (0, "daily")
+    assert modes([clean] * 20 + [fixed, clean, high, clean])[-1] == (1, "daily")
+
+
+def test_recent_history(spark):
+    from trencher.operators import daily
+
+    days = spark.createDataFrame([("d", i) for i in range(31)], "dataset string, day int")
+    assert sorted(r["day"] for r in daily.recent(days).collect()) == list(range(1, 31))
+
+
+def test_fuzzy_search(spark):
+    from trencher.operators import search
+
+    items = [(1, "Turkey Leg", "Smokehouse", None), (2, "DOLE Whip", "Aloha Isle", ""), (3, "Grilled Chicken Sandwich", None, "Flame-grilled chicken"), (4, None, None, None)]
+    wide = spark.createDataFrame(items, "item_id long, name string, restaurant_name string, description string")
+    asked = ["Turkey Leg", "turky leg", "dole wip", "Aloha Isle", "flame-grilled", "", "   ", "xyzzynonexistent"]
+    best = {}
+    for r in search.fuzzy_hits(wide, asked).collect():
+        best[r["query"]] = min(best.get(r["query"], (9999, 0)), (r["relevance"], r["item_id"]))
+    assert {q: i for q, (_, i) in best.items()} == {"turkey leg": 1, "turky leg": 1, "dole wip": 2, "aloha isle": 2, "flame-grilled": 3}
+    assert search.fuzzy_hits(wide, ["a"]).count() == 0
+
+
+def test_meal_totals(spark):
+    from trencher.operators import meals
+
+    rows = [(1, 10, 95, 800, 38, 6, 72, 1, None, None, True), (1, 11, None, None, None, None, None, None, None, 69, False), (2, 10, 0, 0, 0, 0, 0, 0, 0, 70, True)]
+    given = spark.createDataFrame(rows, "meal_id long, item_id long, carbs int, calories int, fat int, protein int, sugar int, fiber int, sodium int, confidence_score int, available boolean")
+    found = {r["meal_id"]: r for r in meals.meal_totals(given).collect()}
+    assert (found[1]["carbs"], found[1]["sodium"], found[1]["low_confidence_count"], found[1]["unavailable_count"]) == (95, 0, 1, 1)
+    assert found[1]["grade"] == "F" and found[2]["score"] == 100
+    assert {tuple(r) for r in meals.meal_warnings(given).collect()} == {(1, 11, "low_confidence"), (1, 11, "unavailable")}

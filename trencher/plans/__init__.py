@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("browse", "structure", "audits", "imputes")
+MODULES = ("browse", "structure", "audits", "imputes", "daily")
 
 
 def load_queries() -> None:
