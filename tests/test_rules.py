@@ -83,3 +83,17 @@ def test_meal_totals(spark):
     assert (found[1]["carbs"], found[1]["sodium"], found[1]["low_confidence_count"], found[1]["unavailable_count"]) == (95, 0, 1, 1)
     assert found[1]["grade"] == "F" and found[2]["score"] == 100
     assert {tuple(r) for r in meals.meal_warnings(given).collect()} == {(1, 11, "low_confidence"), (1, 11, "unavailable")}
+
+
+def test_merge_sources(spark):
+    from trencher.operators import merge
+
+    rows = [(1, "yelp", "EPCOT", "Grill", None, "Turkey-Leg!", None, 10.0, "snack"), (2, "official", "Epcot", "grill ", "Main", "turkeyleg", "big", 11.6, None),
+            (3, "dfb", "EPCOT", "Grill", None, "Water", None, 10.0, None), (4, "dfb", "EPCOT", "Grill", None, "Water", "later", 11.5, None),
+            (5, "blog", None, None, None, None, None, None, None), (6, "yelp", "EPCOT", "Grill", None, "Cake", None, 0.0, None), (7, "blog", "EPCOT", "Grill", None, "Cake", None, 5.0, None)]
+    given = spark.createDataFrame(rows, "at int, source string, park_name string, restaurant_name string, land string, name string, description string, price double, category string")
+    found = {r["name_key"]: r for r in merge.merge_sources(given, ["at"]).collect()}
+    leg, water, cake, none = (found[k] for k in ("turkeyleg", "water", "cake", ""))
+    assert (leg["park_name"], leg["price"], leg["confidence"], leg["sources"], leg["price_conflict"], leg["category"]) == ("Epcot", 11.6, 100, ["official", "yelp"], True, "entree")
+    assert (water["description"], water["price_conflict"], water["n_prices"]) == (None, False, 2)
+    assert (cake["n_prices"], cake["price_conflict"], cake["confidence"]) == (1, False, 40) and none["confidence"] == 50
