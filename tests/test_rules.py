@@ -97,3 +97,17 @@ def test_merge_sources(spark):
     assert (leg["park_name"], leg["price"], leg["confidence"], leg["sources"], leg["price_conflict"], leg["category"]) == ("Epcot", 11.6, 100, ["official", "yelp"], True, "entree")
     assert (water["description"], water["price_conflict"], water["n_prices"]) == (None, False, 2)
     assert (cake["n_prices"], cake["price_conflict"], cake["confidence"]) == (1, False, 40) and none["confidence"] == 50
+
+
+def test_dose_scores(spark):
+    from trencher.functions.dosing import score_doses
+
+    rows = [(1, 60.0, 180.0, 120.0, 10.0, 50.0, "none", None, None), (2, 60.0, 180.0, 120.0, 10.0, 50.0, "high", 2.0, None), (3, 60.0, 65.0, 120.0, 10.0, 50.0, "none", None, None),
+            (4, None, 180.0, 120.0, 10.0, 50.0, "none", None, None), (5, 60.0, 180.0, 120.0, 2.0, 50.0, "none", None, None), (6, 250.0, 300.0, 100.0, 5.0, 20.0, "none", 0.0, 25.0)]
+    given = spark.createDataFrame(rows, "k int, carbs double, blood_glucose double, target double, icr double, cf double, activity string, active_insulin double, max_bolus double")
+    found = {r["k"]: r for r in score_doses(given.withColumn("blocked_by_nutrition", F.lit(False))).collect()}
+    assert [found[k]["validation"] for k in range(1, 7)] == ["valid", "valid", "hypoglycemia", "incomplete", "invalid", "valid"]
+    assert (found[1]["suggested"], found[1]["correction"]) == (7.2, 1.2) and (found[2]["suggested"], found[2]["correction_after_iob"]) == (3.0, 0.0)
+    assert found[2]["triggers"] == ["IOB exceeds correction need: correction insulin is reduced to 0 units."]
+    assert found[3]["low_glucose"] and not found[3]["urgent_low"] and found[3]["suggested"] is None
+    assert found[6]["dose_status"] == "blocked" and found[6]["suggested"] is None and found[4]["messages"] == ["Enter total carbs."]
