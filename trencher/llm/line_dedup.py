@@ -40,13 +40,14 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
     return frequent.groupBy("host").agg(F.collect_set("line").alias("lines"))
 
 
-def without_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def without_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+                        counted: DataFrame | None = None) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``, and ``lines_dropped``.
 
-    A null text stays null; a text of boilerplate only becomes empty; pages of
+    ``counted``: the pages whose lines are counted, if not all of ``docs``.  A null text stays null; a text of boilerplate only becomes empty; pages of
     null host are one host; repeated rows are pages of their own.
     """
-    found = stored(boilerplate(docs, host, text, ratio, min_pages), "boilerplate").select(F.col("host").alias("host_"), F.col("lines").alias("lines_"))
+    found = stored(boilerplate(docs if counted is None else counted, host, text, ratio, min_pages), "boilerplate").select(F.col("host").alias("host_"), F.col("lines").alias("lines_"))
     df = docs.join(found, F.col(f"`{host}`").cast("string").eqNullSafe(F.col("host_")), "left")
     kept = F.filter(_lines(text), lambda x: ~F.array_contains(F.col("lines_"), F.unhex(F.md5(_bare(x)))))
     df = df.withColumn("kept_", F.when(F.col("lines_").isNotNull() & F.col(f"`{text}`").isNotNull(), kept))
