@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trencher.llm import (chat, class_lm, decontaminate, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash,
-                          token_shards)
+from trencher.llm import (alignment, chat, class_lm, decontaminate, line_dedup, packing, permutation_index, quality_classifier, quality_rules, repair,
+                          sharding, simhash, token_shards)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,3 +124,44 @@ def hierarchical_bayes_quality(spark, folder):
 def extendible_hash_shards(spark, folder):
     found = sharding.sharded(table(spark, folder, "documents"))
     return found.select("doc_id", "shard", "depth", "n_bytes", "shard_bytes", F.crc32("text").alias("text_crc32"))
+
+
+@query("op11_cross_tokenizer_alignment")
+def cross_tokenizer_alignment(spark, folder):
+    return alignment.alignment(table(spark, folder, "documents"))
+
+
+@query("op12_conversation_repair", r"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+    lambda x: ascii(x)::BIGINT)), lambda h, b: list_reduce(list_prepend(xor(h, b), range(8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 20 AS kind
+  FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE kind <> 0),
+o AS (SELECT conv_id, turn, role, text, left(role, 1) AS r, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN nth > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault,
+  r || lead(r) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM o),
+w(conv_id, i, s) AS (SELECT conv_id, 0::BIGINT, [{'c': 0, 'a': '', 't': ''}, {'c': 1000000, 'a': '', 't': ''}, {'c': 1000000, 'a': '', 't': ''}, {'c': 1000000, 'a': '', 't': ''}] FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, i, [{'c': e[1].c + 3, 'a': e[1].a || 'D', 't': e[1].t},
+    list_min([{'c': e[2].c + 3, 'a': e[2].a || 'D', 't': e[2].t}, {'c': e[1].c + cut + CASE WHEN r = 's' AND free THEN 0 ELSE 1000000 END, 'a': e[1].a || 'K', 't': e[1].t || own}]),
+    list_min(list_concat([{'c': e[3].c + 3, 'a': e[3].a || 'D', 't': e[3].t}], flatten([[{'c': e[k].c + cut + CASE WHEN r = 'u' AND free THEN 0 ELSE 1000000 END, 'a': e[k].a || 'K', 't': e[k].t || own},
+      {'c': e[k].c + 2 + cut + CASE WHEN free THEN 0 ELSE 1000000 END, 'a': e[k].a || 'R', 't': e[k].t || 'user:' || text || chr(10)}] for k in [1, 2, 4]]))),
+    list_min([{'c': e[4].c + 3, 'a': e[4].a || 'D', 't': e[4].t}, {'c': e[3].c + cut + CASE WHEN r = 'a' AND free THEN 0 ELSE 1000000 END, 'a': e[3].a || 'K', 't': e[3].t || own},
+      {'c': e[3].c + 2 + cut + CASE WHEN free THEN 0 ELSE 1000000 END, 'a': e[3].a || 'R', 't': e[3].t || 'assistant:' || text || chr(10)}])]
+    FROM (SELECT f.conv_id, f.i, f.r, f.text, f.role || ':' || f.text || chr(10) AS own, f.fault NOT IN ('b', 'd') AS free, CASE WHEN f.fault = 't' THEN 1 ELSE 0 END AS cut,
+      [s[1], s[2], x2, list_min([s[4], {'c': x2.c + 2, 'a': x2.a || 'I', 't': x2.t || 'assistant:' || chr(10)}])] AS e
+      FROM (SELECT *, list_min([s[3], {'c': s[1].c + 2, 'a': s[1].a || 'I', 't': s[1].t || 'user:' || chr(10)}, {'c': s[2].c + 2, 'a': s[2].a || 'I', 't': s[2].t || 'user:' || chr(10)},
+        {'c': s[4].c + 2, 'a': s[4].a || 'I', 't': s[4].t || 'user:' || chr(10)}]) AS x2 FROM w) AS w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1)),
+z AS (SELECT conv_id, list_min([s[1], s[4], {'c': s[3].c + 2, 'a': s[3].a || 'I', 't': s[3].t || 'assistant:' || chr(10)},
+  {'c': s[2].c + 4, 'a': s[2].a || 'II', 't': s[2].t || 'user:' || chr(10) || 'assistant:' || chr(10)}]) AS best FROM w QUALIFY i = max(i) OVER (PARTITION BY conv_id))
+SELECT z.conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, CAST(any_value(best.c) AS BIGINT) AS cost, any_value(best.a) AS audit,
+  sha256(regexp_replace(any_value(best.t), chr(10) || '$', '')) AS repaired_sha256
+FROM z LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM z.conv_id GROUP BY z.conv_id""")
+def conversation_repair(spark, folder):
+    return repair.repaired_after_damage(table(spark, folder, "conversations"))
+
+
+@query("op13_permutation_index")
+def permutation_index_search(spark, folder):
+    return permutation_index.search(table(spark, folder, "embeddings"), every=100)
