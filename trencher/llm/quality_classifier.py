@@ -17,8 +17,7 @@ from trencher.llm.shared import stored, text_or_empty
 
 #: Labelled rows that the classifiers are fitted on, at most: those of least hash, each text once.
 SAMPLE = 20_000
-#: Features of each classifier, at most: those that differ most between good and bad.
-KEPT = 4_000
+#: Features count from this difference between good and bad on; the sample bounds how many there are.
 MIN_Z = 4.0
 STEMS = (4, 5)
 RIDGE, ROUNDS, RATE = 1e-4, 200, 0.1
@@ -67,7 +66,7 @@ def features(text: str, words: _Words) -> set[str]:
 
 
 def _chosen(sample: DataFrame) -> list[list[str]]:
-    """The features of each classifier; at most ``KEPT`` of each come to the driver."""
+    """The features of each classifier: those of the sample that differ enough come to the driver."""
     columns = [f"{b}_{i}" for b in BAD for i in (0, 1)]
 
     def run(batches):
@@ -104,7 +103,7 @@ def _chosen(sample: DataFrame) -> list[list[str]]:
         p, q = (F.col(f"{b}_1") + 0.5) / (bad + 1), (F.col(f"{b}_0") + 0.5) / (good + 1)
         pooled = (F.col(f"{b}_1") + F.col(f"{b}_0") + 1) / (bad + good + 2)
         z = F.abs(p - q) / F.sqrt(pooled * (1 - pooled) * (1 / bad + 1 / good))
-        out.append([r["feature"] for r in counted.select("feature", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(KEPT).collect()])
+        out.append([r["feature"] for r in counted.select("feature", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy("feature").collect()])
     return out
 
 
@@ -156,6 +155,14 @@ def _fitted(sample: DataFrame) -> tuple[dict[str, tuple[float, ...]], list[float
     return {f: tuple(weights[i].tolist()) for f, i in code.items()}, added
 
 
+def _bounded(fitting: DataFrame, sample: int) -> DataFrame:
+    """``text`` and labels of at most ``sample`` texts, those of least hash: an id may have many rows, and a text many ids."""
+    each = fitting.groupBy("text").agg(*[F.max(b).alias(b) for b in BAD]).withColumn("hash", F.xxhash64("text"))
+    each = stored(each, "labelled_texts")
+    least = each.select("hash").orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
+    return each if least is None else each.where(F.col("hash") <= least)
+
+
 def _evidence(docs: DataFrame, weights: dict[str, tuple[float, ...]], added: list[float]) -> DataFrame:
     """``docs`` without their ``text_``, with the log likelihood ratio of each classifier."""
     names = [c for c in docs.columns if c != "text_"]
@@ -203,7 +210,8 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, do
     """The columns ``keep`` (the id, by default) of each row with ``low_quality, toxic`` (posterior probabilities) and ``kept``: both below their limits.
 
     ``labels``: ``doc_id, quality, toxic`` (0/1, null: unknown); of repeated labels
-    of an id the worst counts.  A null text is empty; null hosts are one host and
+    of an id the worst counts, and of repeated texts of the sample, too.  A null
+    text is empty; null hosts are one host and
     null paths one path of their host; rows of null id have no label.  Without
     labels of both kinds a classifier finds nothing.
     """
@@ -212,7 +220,7 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, do
     given = stored(given.select(F.col("doc_id").alias("label_id"), *BAD), "labels")
     chosen = given.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)  # `sample` rows at most
     fitting = docs.select(F.col(f"`{doc_id}`").alias("id"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
-    weights, added = _fitted(stored(fitting.select("text", *BAD).dropDuplicates(["text"]), "sample"))
+    weights, added = _fitted(_bounded(fitting, sample))
     kept = [F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)]
     site = [F.col(f"`{host}`").cast("string").alias("host_"), F.col(f"`{path}`").cast("string").alias("path_")]
     rows = docs.select(*kept, F.col(f"`{doc_id}`").alias("id"), *site, text_or_empty(text).alias("text_"))
