@@ -19,12 +19,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trencher.llm.shared import stored, text_or_empty, type_of
+from trencher.llm.shared import given, stored, text_or_empty, type_of, whole_row
 from trencher.llm.tokens import ID_BYTES, Encoder
 
 CAPACITY = 2048
 END_ID = 0
 BATCH = 500
+PLACES = ["sequence_id", "offset"]
 PLAN_COLUMNS = ["length", "first_rank", "n", "first_sequence", "room_at", "per_sequence"]
 
 
@@ -137,32 +138,28 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
 
     Lengths must be from 1 to ``capacity``; rows of null length get null places.
     Ties and repeated rows are pieces of their own; an empty table gives an empty
-    table.  Columns of the given table named ``part`` or ``rank_in_part`` must be renamed first.
+    table.  Columns of the given table named as these two are replaced.
     """
     import pyarrow as pa
 
     spark = pieces.sparkSession
-    sized = stored(numbered(pieces, length), "pieces")
-    n = F.col(length).cast("long")
-    counts = stored(sized.where(n.isNotNull()).groupBy(n.alias("length_"), F.col("part").alias("part_")).agg(F.count("*").alias("n_")), "counts")
+    sized = stored(numbered(pieces.select(whole_row(pieces.columns).alias("row"), F.col(f"`{length}`").cast("long").alias("length")), "length"), "pieces")
+    counts = stored(sized.where("length IS NOT NULL").groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     # At most `capacity` rows.
-    histogram = {r["length_"]: r["n"] for r in counts.groupBy("length_").agg(F.sum("n_").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows = list(zip(*plan(histogram, capacity))) or [()] * len(PLAN_COLUMNS)
-    slots = spark.createDataFrame(pa.table([pa.array(r, pa.int64()) for r in rows], PLAN_COLUMNS))
-    before = Window.partitionBy("length_").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("length_", "part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("first_"))
-    ranked = sized.join(firsts, (n == F.col("length_")) & (F.col("part") == F.col("part_"))).withColumn("rank_", F.col("first_") + F.col("rank_in_part"))
-    s = {c: F.col(f"slots.{c}") for c in slots.columns}
-    nth = F.col("rank_") - s["first_rank"]
+    slots = spark.createDataFrame(pa.table([pa.array(r, pa.int64()) for r in rows], PLAN_COLUMNS)).withColumnRenamed("length", "of_length")
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(F.col("length").alias("own_length"), F.col("part").alias("own_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    ranked = sized.join(firsts, (F.col("length") == F.col("own_length")) & (F.col("part") == F.col("own_part"))).withColumn("rank", F.col("first") + F.col("rank_in_part"))
+    nth = F.col("rank") - F.col("first_rank")
     # The plan's size depends on `capacity` alone.
-    placed = ranked.join(F.broadcast(slots.alias("slots")), (F.col("length_") == s["length"]) & (nth >= 0) & (nth < s["n"]))
-    placed = placed.select(
-        *[F.col(f"`{c}`") if c != "length" else F.col("length_").alias("length") for c in pieces.columns],
-        (s["first_sequence"] + F.floor(nth / s["per_sequence"])).cast("long").alias("sequence_id"),
-        (s["room_at"] + nth % s["per_sequence"] * s["length"]).cast("long").alias("offset"))
-    unsized = sized.where(n.isNull()).select(*[F.col(f"`{c}`") for c in pieces.columns],
-                                                          F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
-    return placed.unionByName(unsized)
+    placed = ranked.join(F.broadcast(slots), (F.col("length") == F.col("of_length")) & (nth >= 0) & (nth < F.col("n")))
+    own = given(pieces.columns, PLACES)
+    placed = placed.select(*own, (F.col("first_sequence") + F.floor(nth / F.col("per_sequence"))).cast("long").alias("sequence_id"),
+                           (F.col("room_at") + nth % F.col("per_sequence") * F.col("length")).cast("long").alias("offset"))
+    none = F.lit(None).cast("long")
+    return placed.unionByName(sized.where("length IS NULL").select(*own, *[none.alias(c) for c in PLACES]))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

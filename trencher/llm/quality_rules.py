@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trencher.llm.shared import stored
+from trencher.llm.shared import given, stored, whole_row
 
 SPACE = " \t\n\x0b\x0c\r"
 SPACES = r"[ \t\n\x0B\f\r]+"
@@ -33,16 +33,18 @@ RULES = {
 BASE = ("short", "repetitive")
 
 
-def features(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words`` to the columns ``keep``.
+OUTPUTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "kept"]
 
-    A null text has no words.  Windows of three words are compared by 64-bit
+
+def features(rows: DataFrame) -> DataFrame:
+    """Adds ``n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words`` to ``row`` and ``host`` of ``rows(row, host, text_)``.
+
+    A text without words has zeros.  Windows of three words are compared by 64-bit
     hashes within one text.
     """
-    keep = docs.columns if keep is None else keep
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    keep = ["row", "host"]
     has_word = lambda line: F.length(F.btrim(line, F.lit(SPACE))) > 0
-    df = docs.select(*[F.col(f"`{c}`") for c in keep], whole.alias("text_"))
+    df = rows
     bare = F.btrim("text_", F.lit(SPACE))
     df = df.select(*[F.col(f"`{c}`") for c in keep], "text_",
                    F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACES)).alias("words_"),
@@ -86,17 +88,19 @@ def _priors(hosts: DataFrame) -> dict[str, tuple[float, float]]:
 def judged(docs: DataFrame, host: str = "source", text: str = "text", keep: list[str] | None = None, max_rate: float = MAX_RATE) -> DataFrame:
     """The columns ``keep`` and the features of each document, with ``base_failed``, ``host_rate`` (the largest shrunk rate) and ``kept``.
 
-    Documents of null host are one host.  Repeated rows count as often as they
-    come; an empty table gives an empty table.
+    A null text has no words.  Documents of null host are one host.  Repeated
+    rows count as often as they come; an empty table gives an empty table.
+    Columns of the given table with the name of one of ``OUTPUTS`` are replaced.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    named = docs.withColumn("host_", F.col(f"`{host}`").cast("string"))
-    rows = stored(features(named, text, [*keep, "host_"]), "features")
+    named = docs.select(whole_row(keep).alias("row"), F.col(f"`{host}`").cast("string").alias("host"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text_"))
+    rows = stored(features(named), "features")
     failed = {r: F.expr(condition) for r, condition in RULES.items()}
-    hosts = stored(rows.groupBy("host_").agg(F.count("*").alias("pages"), *[F.count_if(c).alias(r) for r, c in failed.items()]), "hosts")
+    hosts = stored(rows.groupBy("host").agg(F.count("*").alias("pages"), *[F.count_if(c).alias(r) for r, c in failed.items()]), "hosts")
     prior = _priors(hosts)
     rates = [(F.col(r) + a) / (F.col("pages") + a + b) for r, (a, b) in prior.items()]
-    verdicts = stored(hosts.select(F.col("host_").alias("of_host"), F.greatest(*rates).alias("host_rate")), "verdicts")
+    verdicts = stored(hosts.select(F.col("host").alias("of_host"), F.greatest(*rates).alias("host_rate")), "verdicts")
     base = reduce(lambda x, y: x | y, (failed[r] for r in BASE))
-    out = rows.join(verdicts, F.col("host_").eqNullSafe(F.col("of_host")), "left").drop("host_", "of_host")
-    return out.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_rate))
+    out = rows.join(verdicts, F.col("host").eqNullSafe(F.col("of_host")), "left").withColumn("base_failed", base)
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_rate))
+    return out.select(*given(keep, OUTPUTS), *OUTPUTS)

@@ -15,11 +15,12 @@ from math import ceil, log2
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trencher.llm.shared import folder, stored
+from trencher.llm.shared import folder, given, stored, whole_row
 
 LIMIT = 8 << 20
 STEP = 16
 WORD = 64
+OUTPUTS = ["shard", "depth", "n_bytes", "shard_bytes"]
 
 
 def _bits(hash_, at: int, n: int):
@@ -41,19 +42,20 @@ def assigned(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: in
     """``docs`` with ``shard`` (its prefix in 0 and 1), ``depth``, ``n_bytes`` and ``shard_bytes``.
 
     A null text has no bytes; null keys hash alike and split by row number;
-    repeated rows are rows of their own.
+    repeated rows are rows of their own.  Columns of the given table named as one
+    of these four are replaced.
     """
-    sized = docs.withColumn("bytes_", F.coalesce(F.octet_length(F.col(f"`{text}`").cast("string")), F.lit(0)).cast("long"))
-    sized = sized.withColumn("hash_", F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))))
+    sized = docs.select(whole_row(docs.columns).alias("row"), F.coalesce(F.octet_length(F.col(f"`{text}`").cast("string")), F.lit(0)).cast("long").alias("bytes_"),
+                        F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))).alias("hash_"))
     total = sized.agg(F.sum("bytes_")).first()[0] or 0
     bits = min(WORD - STEP, max(4, ceil(log2(total / limit + 1)) + 4))
     rows = sized.withColumn("path_", F.lit("")).withColumn("cell_", _bits(F.col("hash_"), 0, bits))
-    names, done, at, word = docs.columns, None, 0, 0
+    done, at, word = None, 0, 0
 
     def split(rows: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
         leaf = _leaves(rows.select("path_", "cell_", "bytes_"), bits, limit)
         cells = ["path_", "cell_"]
-        found = rows.join(leaf, cells).select(*[F.col(f"`{c}`") for c in names], F.concat("path_", F.expr(f"left(lpad(bin(cell_), {bits}, '0'), depth_)")).alias("shard"),
+        found = rows.join(leaf, cells).select("row", F.concat("path_", F.expr(f"left(lpad(bin(cell_), {bits}, '0'), depth_)")).alias("shard"),
                                               F.col("bytes_").alias("n_bytes"), "shard_bytes").withColumn("depth", F.length("shard"))
         return found, rows.join(leaf, cells, "left_anti").withColumn("path_", F.concat("path_", F.expr(f"lpad(bin(cell_), {bits}, '0')")))
 
@@ -62,7 +64,7 @@ def assigned(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: in
         done = found if done is None else done.unionByName(found)
         rest = stored(rest if word or at else rest.withColumn("row_", F.xxhash64(F.monotonically_increasing_id())), "rest")
         if rest.isEmpty():
-            return done
+            return done.select(*given(docs.columns, OUTPUTS), *OUTPUTS)
         at += bits
         if at >= WORD:
             at, word = 0, word + 1
@@ -84,5 +86,5 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
 
     path = f"{folder(docs.sparkSession)}/trencher/{uuid4().hex}/shards"
     write_shards(docs, path, key, text, limit)
-    extra = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.sparkSession.read.schema(f"{extra}, n_bytes long, shard_bytes long, depth int, shard string").parquet(path).withColumn("shard", F.substring("shard", 2, 2 * WORD))
+    extra = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in OUTPUTS)
+    return docs.sparkSession.read.schema(f"{extra}, depth int, n_bytes long, shard_bytes long, shard string").parquet(path).withColumn("shard", F.substring("shard", 2, 2 * WORD))

@@ -42,3 +42,13 @@ def type_of(df: DataFrame, column: str) -> str:
 
 def text_or_empty(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def whole_row(columns: list[str]):
+    """The given row as one column, so that its names cannot clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(None).cast("string").alias("none"))
+
+
+def given(columns: list[str], outputs: list[str], row: str = "row"):
+    """The columns of a ``whole_row`` again, but for those that an output replaces."""
+    return [F.col(f"`{row}`.`{c}`").alias(c) for c in columns if c not in outputs]

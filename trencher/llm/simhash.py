@@ -51,15 +51,15 @@ def fingerprint(text: str, width: int = WIDTH) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``key, fingerprint`` (long) of each row's whole text; a null text has no words."""
+    """``key`` (whatever its name was) and ``fingerprint`` (long) of each row's whole text; a null text has no words."""
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], pa.int64())],
-                                             [key, "fingerprint"])
+                                             ["key", "fingerprint"])
 
-    return docs.select(key, text_or_empty(text).alias("text")).mapInArrow(run, f"`{key}` {type_of(docs, key)}, fingerprint long")
+    return docs.select(F.col(f"`{key}`").alias("key"), text_or_empty(f"`{text}`").alias("text")).mapInArrow(run, f"key {type_of(docs, key)}, fingerprint long")
 
 
 def _near(value, bits: int, all_bits: bool):
@@ -93,19 +93,19 @@ def links(classes: DataFrame, fine_above: int = FINE_ABOVE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``key, fingerprint, component_id`` for every row.
+    """``key`` (under its own name but where that is one of the others'), ``fingerprint`` and ``component_id`` for every row; other columns are not read.
 
     ``component_id`` is the least key reachable over links; null keys do not
     count for it, and it is null where a component has no other.  Texts without
     words all have fingerprint 0.  Repeated rows are rows of the same class.
     """
     rows = stored(fingerprints(docs, key, text, width), "fingerprints")
-    classes = stored(rows.groupBy("fingerprint").agg(F.min(key).alias("first")), "classes")
+    classes = stored(rows.groupBy("fingerprint").agg(F.min("key").alias("first")), "classes")
     root = stored(roots(links(classes)), "roots")
     linked = root.join(classes, root.node == classes.fingerprint).select("node", "root", "first")
     merged = root.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root").select(F.col("node").alias("fingerprint"), "least")
     of_class = stored(classes.join(merged, "fingerprint", "left").select("fingerprint", F.coalesce("least", "first").alias("component_id")), "components")
-    return rows.join(of_class, "fingerprint").select(key, "fingerprint", "component_id")
+    return rows.join(of_class, "fingerprint").select(F.col("key").alias("key" if key in ("fingerprint", "component_id") else key), "fingerprint", "component_id")
 
 
 def hexadecimal(fingerprint: str = "fingerprint"):
