@@ -11,9 +11,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trencher.operators.browse import FilterSpec, apply_filters, search_filters, sort_keys
+
 # The weight of each field, the largest distance of a hit and the shortest query.
 WEIGHTS = {"name": 2.0, "restaurant_name": 1.5, "description": 1.0}
 THRESHOLD, MIN_LENGTH = 0.4, 2
@@ -47,3 +49,17 @@ def fuzzy_hits(wide: DataFrame, queries: Sequence[str], key: str = "item_id") ->
     terms = [w * F.when(F.col(f) <= THRESHOLD, F.col(f)).otherwise(1.0) for f, w in WEIGHTS.items()]
     relevance = sum(terms[1:], terms[0]) / sum(WEIGHTS.values())
     return hits.select("query", key, F.floor(relevance * 1000 + F.lit(0.5)).cast("long").alias("relevance"))
+
+
+def search_pages(wide: DataFrame, allergens: DataFrame, queries: Sequence[str], spec: FilterSpec, visible: int) -> DataFrame:
+    """``query, position, item_id, relevance, total_matches, has_more``: the first ``visible`` hits of each query.
+
+    The options of ``spec`` that apply on top of a search thin the hits out, and
+    its sort, not the relevance, orders them; a query without hits left has no rows.
+    """
+    shown = apply_filters(wide, allergens, search_filters(spec))
+    found = shown.join(fuzzy_hits(wide, queries), "item_id")
+    totals = found.groupBy("query").agg(F.count("*").alias("total_matches"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(*sort_keys(spec.sort)))
+    first = found.withColumn("position", place).where(F.col("position") <= visible)
+    return first.join(totals, "query").select("query", "position", "item_id", "relevance", "total_matches", (F.col("total_matches") > visible).alias("has_more"))

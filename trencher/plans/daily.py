@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trencher.operators import daily, meals, search
-from trencher.operators.browse import PAGE
+from trencher.operators.browse import PAGE, FilterSpec
+from trencher.plans.browse import SCORED
 from trencher.plans.registry import query
 
 # --- daily state: restaurants are datasets, shipping days are audit days -----------
@@ -114,3 +115,16 @@ def fuzzy_search_view(cat):
     wide = cat.wide.where((F.col("carbs") <= 60) & (F.col("category") == "dessert"))
     n = F.count(F.lit(1))
     return search.fuzzy_hits(wide, ASKED).groupBy("query").agg(n.alias("total_matches"), F.least(F.lit(PAGE).cast("long"), n).alias("visible_count"), (n > PAGE).alias("has_more"))
+
+
+VISIBLE = 20
+ON_TOP = FilterSpec(max_carbs=60, grades=("A", "B", "C"), allergen_free=("WHEAT",), hide_fried=True, search="fish", sort="carbsAsc")
+
+
+@query("fuzzy_search_pages", FUZZY + SCORED + f""", ok AS (SELECT query, item_id, relevance, carbs FROM hits JOIN scored USING (item_id) WHERE NOT is_header AND carbs <= 60 AND grade IN ('A', 'B', 'C')
+  AND item_id NOT IN (SELECT item_id FROM allergens WHERE lower(allergen_type) = 'wheat'))
+SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY carbs NULLS LAST, item_id) AS INT) AS position, item_id, relevance, count(*) OVER (PARTITION BY query) AS total_matches,
+  count(*) OVER (PARTITION BY query) > {VISIBLE} AS has_more FROM ok QUALIFY position <= {VISIBLE}""")
+def fuzzy_search_pages(cat):
+    """The visible items of each query; of the filters only those that apply on top of a search count."""
+    return search.search_pages(cat.wide, cat.allergens, ASKED, ON_TOP, VISIBLE)
