@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trencher.functions.text import match_name
@@ -16,6 +16,17 @@ PLACE = ("park_name", "restaurant_name", "name")
 CARRIED = ("park_name", "restaurant_name", "land", "name", "description", "price", "category")
 
 
+def _trust() -> Column:
+    trust = F.lit(0)
+    for source, value in PRIORITY.items():
+        trust = F.when(F.col("source") == source, value).otherwise(trust)
+    return trust
+
+
+def _keys() -> list[Column]:
+    return [F.coalesce(match_name(F.col(c)), F.lit("")).alias(f"{c}_key") for c in PLACE]
+
+
 def merge_sources(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """One row per park, restaurant and dish of equal normalised names, with the columns of the most trusted source.
 
@@ -26,10 +37,7 @@ def merge_sources(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     aggregates combine on the map side, so a dish that most rows name is one
     partial row per task.
     """
-    trust = F.lit(0)
-    for source, value in PRIORITY.items():
-        trust = F.when(F.col("source") == source, value).otherwise(trust)
-    keys = [F.coalesce(match_name(F.col(c)), F.lit("")).alias(f"{c}_key") for c in PLACE]
+    trust, keys = _trust(), _keys()
     price = F.when(F.col("price") != 0, F.col("price"))
     first = F.min_by(F.struct("_trust", *CARRIED), F.struct((-F.col("_trust")).alias("t"), *order)).alias("first")
     merged = rows.withColumn("_trust", trust).groupBy(*keys).agg(
@@ -39,3 +47,17 @@ def merge_sources(rows: DataFrame, order: Sequence[str]) -> DataFrame:
                            F.coalesce((F.col("n_prices") >= 2) & (spread > PRICE_SPREAD), F.lit(False)).alias("price_conflict"))
     confidence = F.when(F.col("_trust") > 0, F.col("_trust")).otherwise(OTHER_CONFIDENCE)
     return merged.withColumn("confidence", confidence).withColumn("category", F.coalesce("category", F.lit("entree"))).drop("_trust")
+
+
+def price_conflicts(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """What each source says a dish with a price conflict costs: the dish's keys, ``at`` (from 1), ``source`` and ``price``.
+
+    The most trusted source comes first, equals by ``order``.  One row per price
+    said, so a dish that most rows name is no long list.
+    """
+    names = [f"{c}_key" for c in PLACE]
+    said = rows.withColumn("_trust", _trust()).where("price != 0").select(*_keys(), "_trust", "source", F.col("price").cast("double").alias("price"), *order)
+    low, high = F.min("price"), F.max("price")
+    apart = said.groupBy(*names).agg(F.count("*").alias("n"), F.try_divide(high - low, low).alias("spread")).where((F.col("n") >= 2) & (F.col("spread") > PRICE_SPREAD))
+    place = F.row_number().over(Window.partitionBy(*names).orderBy(F.desc("_trust"), *order))
+    return said.join(apart.select(*names), names, "left_semi").select(*names, place.alias("at"), "source", "price")
