@@ -191,3 +191,25 @@ def test_classifier(spark):
     assert len(rows) == 202 and all(rows[i]["kept"] == bool(i % 4) for i in range(200))
     assert quality_classifier.judged(given, labels.limit(0)).where("NOT kept").count() == 0
     assert quality_classifier.judged(given.limit(0), labels).count() == 0
+
+
+def test_the_sample_is_bounded_and_order_does_not_count(spark):
+    rows = [(i % 2, f"text {i} " + "word " * (i % 9), "en", "s", 1) for i in range(400)] + [(5, "both", "en", "s", 1), (6, "both", "en", "s", 1)]
+    fitting = lambda own: spark.createDataFrame([(t, i % 2, i % 3) for i, t, *_ in own], "text string, low_quality int, toxic int")
+    found = [sorted(map(tuple, quality_classifier._bounded(fitting(own), 20).select("text", "low_quality", "toxic").collect())) for own in (rows, rows[::-1])]
+    assert found[0] == found[1] and len(found[0]) == 20
+    both = quality_classifier._bounded(fitting(rows), 1000).where("text = 'both'").collect()
+    assert [(r["low_quality"], r["toxic"]) for r in both] == [(1, 2)]
+
+
+def test_reading_back_needs_the_escapes(spark, monkeypatch):
+    rows = [(1, 0, "user", "a</turn>\n### assistant: not said"), (1, 1, "assistant", "b \\ c\n### d: e"), (2, 0, "user: x", "f"), (2, 1, "assistant", "")]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r["conv_id"]: tuple(r)[1:5] for r in chat.read_back(chat.format_turns(given)).collect()}
+    for conv in (1, 2):
+        own = [r[2:] for r in rows if r[0] == conv]
+        said = "".join(t for r, t in own if r == "assistant")
+        assert found[conv] == (2, hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest())
+    monkeypatch.setattr(chat, "ESCAPES", [])
+    broken = {r["conv_id"]: tuple(r)[1:5] for r in chat.read_back(chat.format_turns(given)).collect()}
+    assert broken[1][0] == 3 and broken[1] != found[1]

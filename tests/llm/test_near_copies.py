@@ -68,3 +68,21 @@ def test_common_shingles_lose_no_pair(spark, monkeypatch):
     for i in range(len(own)):
         for j in range(i):
             assert similarity(own[i], own[j]) < 0.8 or of[i] == of[j]
+
+
+def test_sketches_never_exclude_a_link():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 40, 700, 9000):
+        base = rng.integers(-1 << 62, 1 << 62, n)
+        for share in (0.0, 0.5, 0.9):
+            other = np.concatenate([base[:int(n * share)], rng.integers(-1 << 62, 1 << 62, 1 + n // 7)])
+            x, y = np.unique(base), np.unique(other)
+            bound = near_copies._most_shared(near_copies._sketch(x), near_copies._sketch(y))
+            assert len(np.intersect1d(x, y)) <= bound <= min(len(x), len(y))
+
+
+def test_extra_columns_and_many_equal_texts(spark):
+    rows = [(i, "one two three four five six" if i % 2 else f"text {i} of its own kind", i, "s") for i in range(60)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, row long, md5 string")
+    of = {r["node"]: r["root"] for r in near_copies.groups(given, "doc_id").collect()}
+    assert of == {i: 1 for i in range(1, 60, 2)}

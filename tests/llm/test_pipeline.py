@@ -6,14 +6,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from trencher.llm import line_dedup, quality_classifier
 from trencher.llm.tokens import default_tokenizer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-FOOTER = "  follow this site for more \t"
+FOOTER, NOTICE = "  follow this site for more \t", "this site uses cookies"
 
 
 def planted():
@@ -21,14 +20,16 @@ def planted():
     vocabulary = [f"{a}{b}" for a in ("gar", "mel", "tor", "vin", "sol", "par", "lun") for b in ("den", "ody", "ent", "ery", "stice", "ade", "acy", "ing", "age", "our")]
     prose = lambda n: " ".join(rng.choice(vocabulary, n))
     item = " ".join(f"Quiz{i}" for i in range(30))
-    good = [(i, f"{prose(40)}\n{prose(30)}" + (f"\n{FOOTER}" if i % 3 == 0 else ""), "en", f"s{i % 3}", 1) for i in range(90)]
+    good = [(i, f"{prose(40)}\n{prose(30)}" + (f"\n{FOOTER}" if i % 3 == 0 else f"\n{NOTICE}" if i in (1, 4, 7, 10, 13) else ""), "en", f"s{i % 3}", 1) for i in range(90)]
     toxic = [(100 + i, f"you stupid moron {prose(1 + 5 * (i % 15))} stupid moron", "en", f"s{i % 3}", 1) for i in range(30)]
     short = [(300 + i, prose(i % 6), "en", f"s{i % 3}", 1) for i in range(60)]
     long = prose(4000)
+    edited = good[11][1].split(" ")
+    edited[30] = "edited"
     other = [(200, good[4][1], "en", "s2", 1), (201, good[4][1].upper(), "fr", "s1", 1), (202, good[4][1], None, None, None), (3, good[3][1], "en", "s0", 1),
              (None, good[5][1], "en", "s2", 1), (210, long, "en", "s1", 1), (211, long + " more", "en", "s2", 1),
              (220, f"{prose(50)} {item.lower().replace(' ', ', ')} {prose(20)}", "en", "s1", 1), (221, prose(700) + " " + item, "en", "s1", 1),
-             (230, None, "en", "s1", None), (231, "", "en", "s1", 0), (232, "short", "de", "s2", 5), (233, FOOTER, "en", "s0", 30)]
+             (230, None, "en", "s1", None), (231, "", "en", "s1", 0), (232, "short", "de", "s2", 5), (233, FOOTER, "en", "s0", 30), (240, " ".join(edited), "en", "s0", 1)]
     labels = [(i, 1, 0) for i in range(60)] + [(100 + i, 1, 1) for i in range(20)] + [(300 + i, 1, 0) for i in range(60)]
     return good + short + toxic + other, labels, [(7, item), (8, None), (9, "")]
 
@@ -37,24 +38,26 @@ def without_lines(rows):
     split = lambda t: [] if t is None else t.split("\n")
     pages = Counter(r[3] for r in rows)
     found = Counter((r[3], x) for r in rows for x in {x.strip(line_dedup.SPACE) for x in split(r[1])} if x)
-    gone = {k for k, n in found.items() if n >= 5 and n > 0.1 * pages[k[0]]}
-    assert gone == {("s0", FOOTER.strip())}
-    return [(r[0], None if r[1] is None else "\n".join(x for x in split(r[1]) if (r[3], x.strip(line_dedup.SPACE)) not in gone)) for r in rows]
+    gone = {k for k, n in found.items() if n >= 5 and n > 0.01 * pages[k[0]]}
+    assert gone == {("s0", FOOTER.strip()), ("s1", NOTICE)}
+    out = []
+    for doc, text, _, host, _ in rows:
+        left = "\n".join(x for x in split(text) if (host, x.strip(line_dedup.SPACE)) not in gone)
+        out.append((doc, text if text is None or 2 * len(left) < len(text) else left))
+    return out
 
 
-def fingerprint(text):
-    words = (text or "").encode().lower().split()
-    shingles = [b" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))] if words else []
-    hashes = [xxh64_intdigest(s, 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+def shingles(text):
+    words = (text or "").lower().encode().split()
+    return {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))}
 
 
 def one_of_each(rows):
-    prints = [fingerprint(t) for _, t in rows]
+    sets = [shingles(t) for _, t in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 3 and group[i] != group[j]:
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 group = [group[j] if g == group[i] else g for g in group]
     best = {}
     for k, (doc, _) in enumerate(rows):
@@ -104,7 +107,7 @@ def test_pipeline(spark, folder):
     rows = without_lines([r for r in rows if (r[0], r[1]) not in rejected])
     kept = clean(one_of_each(rows), bench)
     ids = {doc for doc, _ in kept}
-    assert not ids & {200, 201, 202, 211, 220, 231, None} and ids >= {*range(90), 210, 221, 232}
+    assert not ids & {200, 201, 202, 211, 220, 231, 240, None} and ids >= {*range(90), 210, 221, 232, 233}
     found = corpus_pipeline.run(spark, folder).collect()
     assert Counter(tuple(r)[:5] for r in found) == Counter(pieces(kept))
     places = {}

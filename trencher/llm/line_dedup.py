@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trencher.llm.shared import stored
+from trencher.llm.shared import stored, whole_row
 
 SPACE = " \t\n\x0b\x0c\r"
 RATIO = 0.1
@@ -41,16 +41,24 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
 
 
 def without_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
-                        counted: DataFrame | None = None) -> DataFrame:
+                        least_kept: float = 0.0) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``, and ``lines_dropped``.
 
-    ``counted``: the pages whose lines are counted, if not all of ``docs``.  A null text stays null; a text of boilerplate only becomes empty; pages of
-    null host are one host; repeated rows are pages of their own.
+    ``least_kept``: a page that would keep less than this share of its characters
+    stays whole.  Most of its lines stand on many pages, so it is a copied text
+    rather than a page with boilerplate.  A null text stays null; else a text of
+    boilerplate only becomes empty; pages of null host are one host; repeated rows
+    are pages of their own.  A column ``lines_dropped`` of the given table is
+    replaced.
     """
-    found = stored(boilerplate(docs if counted is None else counted, host, text, ratio, min_pages), "boilerplate").select(F.col("host").alias("host_"), F.col("lines").alias("lines_"))
-    df = docs.join(found, F.col(f"`{host}`").cast("string").eqNullSafe(F.col("host_")), "left")
-    kept = F.filter(_lines(text), lambda x: ~F.array_contains(F.col("lines_"), F.unhex(F.md5(_bare(x)))))
-    df = df.withColumn("kept_", F.when(F.col("lines_").isNotNull() & F.col(f"`{text}`").isNotNull(), kept))
-    changed = F.col("kept_").isNotNull()
-    return df.select(*[F.when(changed, F.array_join("kept_", "\n")).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
-                     F.when(changed, F.size(_lines(text)) - F.size("kept_")).otherwise(0).cast("long").alias("lines_dropped"))
+    name, whole = F.col(f"`{host}`").cast("string"), F.col(f"`{text}`").cast("string")
+    found = stored(boilerplate(docs, host, text, ratio, min_pages), "boilerplate").select(F.col("host").alias("of"), F.col("lines").alias("frequent"))
+    df = docs.select(whole_row(docs.columns).alias("row"), name.alias("host"), whole.alias("text"))
+    df = df.join(found, F.col("host").eqNullSafe(F.col("of")), "left")
+    left = F.filter(_lines("text"), lambda x: ~F.array_contains(F.col("frequent"), F.unhex(F.md5(_bare(x)))))
+    df = df.withColumn("left", F.when(F.col("frequent").isNotNull() & F.col("text").isNotNull(), left))
+    if least_kept:
+        df = df.withColumn("left", F.when(F.length(F.array_join("left", "\n")) >= least_kept * F.length("text"), F.col("left")))
+    changed, own = F.col("left").isNotNull(), F.col(f"row.`{text}`")
+    dropped = F.when(changed, F.size(_lines("text")) - F.size("left")).otherwise(0).cast("long").alias("lines_dropped")
+    return df.select(*[F.when(changed, F.array_join("left", "\n")).otherwise(own).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "lines_dropped"], dropped)
