@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its ``PREFIX`` nearest of ``PIVOTS`` pivots, in order.
+A vector is represented by its ``PREFIX`` nearest of ``PIVOTS`` pivots, in order;
+pivots are spread over a sample, so a crowd of close vectors gets few of them.
 The table is dealt into tiles of bounded size; in each, every pivot has an
 inverted file of the vectors that have it in their prefix, with its place.  A
 query's prefix fetches the files of its pivots, which add up the footrule
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from trencher.llm.shared import stored, type_of
 
 #: The index is fitted on so many vectors, those of least hash; every vector is indexed.
+SAMPLE = 2048
 PIVOTS = 256
 PREFIX = 64
 SHARE = 0.25
@@ -39,6 +41,17 @@ def _usable(vector: str):
     return F.when(~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0), v)
 
 
+def _spread(sample, n: int):
+    """``n`` vectors of the sample, each as far from those before it as any, so that close vectors do not take several pivots."""
+    import numpy as np
+
+    chosen, near = [0], ((sample - sample[0]) ** 2).sum(1)
+    while len(chosen) < min(n, len(sample)):
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, ((sample - sample[chosen[-1]]) ** 2).sum(1))
+    return sample[chosen]
+
+
 def _prefixes(vectors, pivots, m: int):
     """The ``m`` nearest pivots of each vector, nearest first, ties to the smaller number."""
     import numpy as np
@@ -124,8 +137,8 @@ def nearest_classes(classes: DataFrame, queries: DataFrame, k: int, pivots: int
 
     size = classes.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
     n, dimension = size["n"], size["d"] or 1
-    sample = [r["vector"] for r in classes.orderBy(F.xxhash64("vector"), "class").select("vector").limit(pivots).collect()]
-    chosen = _padded(sample, dimension) if sample else np.zeros((1, dimension))
+    sample = [r["vector"] for r in classes.orderBy(F.xxhash64("vector"), "class").select("vector").limit(SAMPLE).collect()]
+    chosen = _spread(_padded(sample, dimension), pivots) if sample else np.zeros((1, dimension))
     m = min(prefix, len(chosen))
     rows = max(LEAST, min(tile_rows, TILE_BYTES // (8 * dimension)))
     numbers = max(1, -(-n // rows))
