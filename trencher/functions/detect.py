@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trencher.functions.numeric import zero_if_null
 from trencher.functions.rules import present
-from trencher.functions.text import clean_display, display_name
+from trencher.functions.text import clean_display, display_name, edges
 from trencher.functions.vocab import alcohol as A
 from trencher.functions.vocab import drinks as D
 from trencher.functions.vocab.foods import FOOD_TYPES
@@ -37,17 +37,17 @@ def section_header(name: Column) -> Column:
     return (
         F.when(cleaned == "", True)
         .when(cleaned.rlike(r"^\d+%") | quantity, False)
-        .otherwise(F.lower(cleaned).rlike(HEADER_WORDS))
+        .otherwise(F.lower(cleaned).rlike(edges(HEADER_WORDS)))
     )
 
 
 def display_category() -> Column:
     """Category shown to readers: drink words turn an item into a beverage unless food is in sight."""
     name = F.lower(display_name(F.col("name")))
-    drinkish = (zero_if_null(F.col("alcohol_grams")) > 0) | name.rlike(DRINK_WORDS)
+    drinkish = (zero_if_null(F.col("alcohol_grams")) > 0) | name.rlike(edges(DRINK_WORDS))
     return (
-        F.when((F.col("category") == "beverage") | name.rlike(MERCHANDISE), F.col("category"))
-        .when(drinkish & ~name.rlike(FOOD_CONTEXT), "beverage")
+        F.when((F.col("category") == "beverage") | name.rlike(edges(MERCHANDISE)), F.col("category"))
+        .when(drinkish & ~name.rlike(edges(FOOD_CONTEXT)), "beverage")
         .otherwise(F.col("category"))
     )
 
@@ -59,40 +59,40 @@ def likely_alcoholic(name: Column | None = None, description: Column | None = No
     desc = F.coalesce(F.col("description") if description is None else description, F.lit(""))
     venue = F.coalesce(F.col("restaurant_name") if place is None else place, F.lit(""))
     by_name = (
-        text.rlike("|".join((A.DEFINITIVE_COCKTAIL, A.BRAND_BEER, A.BRAND_SELTZER_CIDER, A.AGE_RESTRICTED)))
+        text.rlike(edges("|".join((A.DEFINITIVE_COCKTAIL, A.BRAND_BEER, A.BRAND_SELTZER_CIDER, A.AGE_RESTRICTED))))
         | text.isin(*A.KNOWN_NAMES)
-        | (text.rlike(r"\bcocktail\b") & ~text.rlike(r"\b(shrimp|prawn|fruit|crab|seafood)\b"))
-        | (text.rlike(r"\bbrew\b") & ~text.rlike(r"\bcold\s*brew\b"))
-        | text.rlike(r"\bflight\b|frozen.*(?:alcohol|with\s+(?:rum|vodka|tequila))|with\s+alcohol")
-        | text.rlike("|".join((A.BEER, A.WINE, A.COCKTAIL, A.SPIRIT, A.OTHER)))
+        | (text.rlike(edges(r"\bcocktail\b")) & ~text.rlike(edges(r"\b(shrimp|prawn|fruit|crab|seafood)\b")))
+        | (text.rlike(edges(r"\bbrew\b")) & ~text.rlike(edges(r"\bcold\s*brew\b")))
+        | text.rlike(edges(r"\bflight\b|frozen.*(?:alcohol|with\s+(?:rum|vodka|tequila))|with\s+alcohol"))
+        | text.rlike(edges("|".join((A.BEER, A.WINE, A.COCKTAIL, A.SPIRIT, A.OTHER))))
     )
-    by_description = desc.rlike(
+    by_description = desc.rlike(edges(
         any_case("|".join((A.SPIRIT, A.COCKTAIL, A.BEER, A.WINE, A.OTHER, A.BRAND_BEER, A.DEFINITIVE_COCKTAIL)))
-    ) | (desc.rlike(r"\bDO\b") & desc.rlike(any_case(r"\b(Spain|France|Italy|Portugal)\b")))
-    at_bar = venue.rlike(any_case(A.BAR_PLACE)) & ~text.rlike(A.SOFT_DRINK)
-    return by_name | by_description | (~text.rlike(A.NEGATIVE) & at_bar)
+    )) | (desc.rlike(edges(r"\bDO\b")) & desc.rlike(edges(any_case(r"\b(Spain|France|Italy|Portugal)\b"))))
+    at_bar = venue.rlike(edges(any_case(A.BAR_PLACE))) & ~text.rlike(edges(A.SOFT_DRINK))
+    return by_name | by_description | (~text.rlike(edges(A.NEGATIVE)) & at_bar)
 
 
 def trigger_alcoholic(name: Column) -> Column:
     """The row trigger's own, shorter test (name only)."""
     text = F.lower(F.coalesce(name, F.lit("")))
-    return text.rlike(A.TRIGGER_INCLUDE) & ~text.rlike(A.TRIGGER_EXCLUDE)
+    return text.rlike(edges(A.TRIGGER_INCLUDE)) & ~text.rlike(edges(A.TRIGGER_EXCLUDE))
 
 
 def likely_beverage() -> Column:
-    return (F.col("category") == "beverage") | F.lower("name").rlike(COFFEE_AND_JUICE)
+    return (F.col("category") == "beverage") | F.lower("name").rlike(edges(COFFEE_AND_JUICE))
 
 
 def infer_vegetarian(text: Column) -> Column:
-    return F.lower(text).rlike(VEGETARIAN)
+    return F.lower(text).rlike(edges(VEGETARIAN))
 
 
 def infer_fried(text: Column) -> Column:
-    return F.lower(text).rlike(FRIED)
+    return F.lower(text).rlike(edges(FRIED))
 
 
 def placeholder(name: Column) -> Column:
-    return F.lower(name).rlike(PLACEHOLDER)
+    return F.lower(name).rlike(edges(PLACEHOLDER))
 
 
 # Ordered place patterns.
@@ -120,9 +120,9 @@ TIMEZONES = ((r"aulani", "Pacific/Honolulu"), (r"disneyland|downtown disney|holl
 
 def first_label(text: Column, pairs: tuple[tuple[str, str], ...], otherwise: str) -> Column:
     (pattern, label), *rest = pairs
-    out = F.when(text.rlike(pattern), label)
+    out = F.when(text.rlike(edges(pattern)), label)
     for pattern, label in rest:
-        out = out.when(text.rlike(pattern), label)
+        out = out.when(text.rlike(edges(pattern)), label)
     return out.otherwise(otherwise)
 
 
@@ -152,8 +152,8 @@ def any_pair(text: Column, pairs) -> Column:
     """True where some pattern matches and its own exclusion does not."""
     out = F.lit(False)
     for include, exclude in pairs:
-        test = text.rlike(include)
-        out = out | (test & ~text.rlike(exclude) if exclude else test)
+        test = text.rlike(edges(include))
+        out = out | (test & ~text.rlike(edges(exclude)) if exclude else test)
     return out
 
 
@@ -166,9 +166,9 @@ def gap_aware_alcoholic() -> Column:
     drink = F.col("category") == "beverage"
     return (
         any_pair(name, D.GAP_AWARE)
-        | (name.rlike(r"\btop shelf\b") & place.rlike(D.TOP_SHELF_PLACE))
-        | (name.rlike(D.DRAFT_NAME) & ~name.rlike(D.DRAFT_NOT) & (drink | place.rlike(D.DRAFT_PLACE)))
-        | (place.rlike(D.BAR_LIKE) & ((fat < 5) | name.rlike("punch") | (name.rlike("flight") & ~name.rlike("chicken flight"))))
+        | (name.rlike(edges(r"\btop shelf\b")) & place.rlike(edges(D.TOP_SHELF_PLACE)))
+        | (name.rlike(edges(D.DRAFT_NAME)) & ~name.rlike(edges(D.DRAFT_NOT)) & (drink | place.rlike(edges(D.DRAFT_PLACE))))
+        | (place.rlike(edges(D.BAR_LIKE)) & ((fat < 5) | name.rlike("punch") | (name.rlike("flight") & ~name.rlike("chicken flight"))))
         | (drink & (fat <= 1) & (protein <= 2) & (calories > 100))
         | ((fat == 0) & (calories > 100) & (((protein <= 2) & (over > 1.5)) | ((protein <= 15) & (over > 2.0))))
     )
@@ -186,8 +186,8 @@ def simple_drink() -> Column:
     name, place = F.lower("name"), F.lower(F.coalesce("restaurant_name", F.lit("")))
     return (
         (F.col("category") == "beverage")
-        | (name.rlike(D.SIMPLE_INCLUDE) & ~name.rlike(D.SIMPLE_EXCLUDE))
-        | place.rlike(D.SIMPLE_PLACE)
+        | (name.rlike(edges(D.SIMPLE_INCLUDE)) & ~name.rlike(edges(D.SIMPLE_EXCLUDE)))
+        | place.rlike(edges(D.SIMPLE_PLACE))
     )
 
 
@@ -202,8 +202,8 @@ def with_food_types(df: DataFrame, text: Column | None = None) -> DataFrame:
     df = df.withColumn("_t", text).withColumn("food_types", F.array().cast("array<string>"))
 
     def hit(include: str, exclude: str | None) -> Column:
-        test = F.col("_t").rlike(include)
-        return test & ~F.col("_t").rlike(exclude) if exclude else test
+        test = F.col("_t").rlike(edges(include))
+        return test & ~F.col("_t").rlike(edges(exclude)) if exclude else test
 
     batch: list[Column] = []
     for label, include, exclude, group in FOOD_TYPES:

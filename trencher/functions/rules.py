@@ -16,6 +16,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trencher.functions.text import edges
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -28,11 +30,11 @@ class Rule:
 
     def condition(self, text: Column, name: Column | None = None, category: Column | None = None) -> Column:
         target = name if self.scope == "name" and name is not None else text
-        test = target.rlike(self.include) if self.include else F.lit(True)
+        test = target.rlike(edges(self.include)) if self.include else F.lit(True)
         if self.also:
-            test = test & target.rlike(self.also)
+            test = test & target.rlike(edges(self.also))
         if self.exclude:
-            test = test & ~target.rlike(self.exclude)
+            test = test & ~target.rlike(edges(self.exclude))
         if self.category is not None and category is not None:
             test = category.isin(*self.category) & test
         return test

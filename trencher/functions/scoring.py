@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trencher.functions.numeric import band, net_carbs, ratio, round_half_up, zero_if_null
 from trencher.functions.rules import present
-from trencher.functions.text import display_name
+from trencher.functions.text import display_name, edges
 
 NUTRIENTS = (
     "calories", "carbs", "fat", "sugar", "protein", "fiber", "sodium", "cholesterol", "alcohol_grams",
@@ -120,9 +120,9 @@ def usable_nutrition() -> Column:
     all_zero = (F.size(known) > 0) & F.forall(known, lambda v: v == 0)
     confirmed = (
         (F.coalesce(F.col("source"), F.lit("")) == "official") & (zero_if_null(F.col("confidence_score")) >= 70)
-    ) | F.lower(display_name(F.col("name"))).rlike(
+    ) | F.lower(display_name(F.col("name"))).rlike(edges(
         r"\b(water|unsweetened tea|black coffee|diet soda|diet coke|diet pepsi)\b"
-    )
+    ))
     return (
         F.col("nutrition_id").isNotNull()
         & (F.col("calories").isNotNull() | F.col("carbs").isNotNull())

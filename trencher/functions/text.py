@@ -1,12 +1,13 @@
 r"""Text normalisers, all JVM-side expressions.
 
-``\b`` is meant as a Unicode word edge; patterns are matched on lower-cased text
-unless said otherwise.
+Patterns are matched on lower-cased text unless said otherwise; ``edges`` gives
+``\b`` one meaning on every JVM.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -30,8 +31,15 @@ def collapse_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, rf"[{SPACE}]+", " "))
 
 
-#: The edge of a word of ASCII letters, digits and underscores, whatever the JVM takes for ``\\b``.
-EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+#: The edge of a word of ASCII letters, digits and underscores (``\\w`` is these on every JVM, ``\\b`` is not).
+EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+#: An edge before a letter that must come, and after one that has come.
+_BEFORE, _AFTER = re.compile(r"\\b(?=\w(?![?*{]))", re.A), re.compile(r"(?<=[^\\]\w)\\b|(?<=^\w)\\b", re.A)
+
+
+def edges(pattern: str) -> str:
+    """``pattern`` with every ``\\b`` at the edge of an ASCII word: before Java 19 it counts letters of any script."""
+    return _AFTER.sub(r"(?!\\w)", _BEFORE.sub(r"(?<!\\w)", pattern)).replace(r"\b", EDGE)
 
 
 def strip_tags(c: Column) -> Column:

@@ -1,7 +1,7 @@
 r"""Food words, calorie ranges and nutrition profiles.
 
-Patterns are matched on lower-cased text.  An exclusion is stated next to its
-pattern instead of as a look-around.
+Patterns are matched on lower-cased text.  A look-around tests one place of a
+match; an exclusion next to a pattern tests the whole text.
 """
 
 from trencher.functions.rules import Rule
@@ -82,7 +82,7 @@ PROFILES = (
     Rule(_KIDS + r".*(?:mac|cheese|pasta|noodle)", ("kids pasta", 150, 600, 20, 60, 5, 30, 5, 20), r"babybel"),
     Rule(_KIDS, ("kids meal", 100, 700, 10, 80, 3, 40, 3, 40), r"sierra nevada|hazy little thing|mother'?s little helper|churro|ipa\b|lager\b|stout\b|\bale\b|pilsner|beer|wine|cocktail|margarita|sangria|fruit\s*cup|babybel"),
     Rule(r"fruit\s*(?:platter|plate|cup|bowl|salad)|fresh\s*fruit", ("fruit plate", 50, 400, 10, 90, 0, 10, 0, 10)),
-    Rule(r"cheeseburger|hamburger|burger", ("burger", 500, 1400, 30, 80, 25, 70, 20, 60), r"burger.*impossible"),
+    Rule(r"cheeseburger|hamburger|burger(?!.*impossible)", ("burger", 500, 1400, 30, 80, 25, 70, 20, 60)),
     Rule(r"\bwhole\b.*pizza", ("whole pizza", 1500, 3200, 150, 350, 60, 150, 60, 160)),
     Rule(r"cheese pizza|pepperoni pizza|pizza", ("pizza", 400, 1200, 40, 100, 15, 50, 15, 45), r"cookie"),
     Rule(r"hot dog|corn dog", ("hot dog", 300, 900, 25, 60, 15, 50, 10, 30)),
@@ -91,7 +91,7 @@ PROFILES = (
     Rule(r"churro", ("churro", 200, 600, 30, 80, 10, 30, 2, 10), r"milk\s*shake|shake\b|family"),
     Rule(r"cupcake", ("cupcake", 350, 800, 45, 120, 15, 40, 3, 10), r"cocktail"),
     Rule(r"dole whip|soft.serve", ("frozen treat", 150, 400, 30, 80, 0, 15, 0, 8)),
-    Rule(r"pretzel", ("pretzel", 300, 700, 50, 120, 1, 25, 5, 20), r"pretzel.*pretzel kitchen|bread pudding|bread stick|breadstick|loaded"),
+    Rule(r"pretzel(?!.*pretzel kitchen)", ("pretzel", 300, 700, 50, 120, 1, 25, 5, 20), r"bread pudding|bread stick|breadstick|loaded"),
     Rule(r"mac.*cheese|mac n cheese", ("mac & cheese", 400, 1000, 35, 80, 20, 55, 15, 35)),
     Rule(r"chicken tender|chicken finger|chicken strip|chicken nugget", ("chicken tenders", 400, 1000, 20, 60, 20, 50, 25, 55), r"1 pc|single|per piece|grilled"),
     Rule(r"nachos|totchos", ("nachos", 500, 1300, 40, 100, 25, 70, 15, 45)),
@@ -101,9 +101,9 @@ PROFILES = (
     Rule(r"platter|feast|sampler", ("platter/sampler", 500, 1800, 30, 200, 15, 80, 15, 120), r"make any|vegetable platter|veggie platter|cheese platter|fruit|combo tray|imperial sampler|beer sampler|wine sampler|flight"),
     Rule(r"combo", ("combo meal", 300, 1600, 15, 200, 5, 80, 5, 120), r"make any|combo tray"),
     Rule(r"\blatte\b|cold brew|\bcappuccino\b", ("coffee drink", 0, 700, 0, 90, 0, 35, 0, 50)),
-    Rule(r"\bbeer\b", ("beer", 100, 350, 5, 30, 0, 2, 0, 5), r"\bbeer\b.*(?:butter|batter|brined|braised|cheese|glazed|marinated|infused|float|root)|chicken|pork|steak|burger|sandwich|wings|ribs|fish|tacos|root beer|barq"),
-    Rule(r"\bwine\b", ("wine", 100, 400, 2, 20, 0, 1, 0, 2), r"\bwine\b.*(?:braised|reduction|sauce|vinaigrette|marinated|glazed|infused|cupcake|cake|country|bar)"),
-    Rule(r"margarita|mojito|sangria|cocktail", ("cocktail", 50, 500, 5, 60, 0, 5, 0, 3), r"(shrimp|fruit|prawn|seafood) cocktail"),
+    Rule(r"\bbeer\b(?!.*(?:butter|batter|brined|braised|cheese|glazed|marinated|infused|float|root))", ("beer", 100, 350, 5, 30, 0, 2, 0, 5), r"chicken|pork|steak|burger|sandwich|wings|ribs|fish|tacos|root beer|barq"),
+    Rule(r"\bwine\b(?!.*(?:braised|reduction|sauce|vinaigrette|marinated|glazed|infused|cupcake|cake|country|bar))", ("wine", 100, 400, 2, 20, 0, 1, 0, 2)),
+    Rule(r"margarita|mojito|sangria|(?<!shrimp |fruit |prawn |seafood )cocktail", ("cocktail", 50, 500, 5, 60, 0, 5, 0, 3)),
     Rule(r"^(?:bottled |sparkling |still |spring |mineral |flavored |dasani |smart|premium |tulum |coconut |vitamin )?water$", ("water", 0, 120, 0, 30, 0, 1, 0, 1)),
     Rule(r"ribs|rib plate|bbq.*rib", ("ribs", 600, 1400, 15, 60, 30, 70, 30, 70)),
     Rule(r"doughnut|donut", ("doughnut", 250, 700, 30, 90, 10, 35, 3, 10), r"chicken.*(?:doughnut|donut)|(?:doughnut|donut).*chicken|chicken\s*'?n'?\s*donut"),
@@ -111,9 +111,9 @@ PROFILES = (
     Rule(r"cookie", ("cookie", 200, 1000, 25, 120, 10, 50, 2, 15), r"cookies\s*&\s*cream|cookies\s*'?n'?\s*cream"),
     Rule(r"wrap|burrito", ("wrap/burrito", 350, 1000, 30, 80, 15, 50, 15, 45)),
     Rule(r"sandwich|panini|sub", ("sandwich", 250, 1200, 20, 80, 8, 55, 8, 50), r"potato chip|chips\b|make any"),
-    Rule(r"steak|filet|ribeye|rib.eye|prime rib", ("steak", 400, 1200, 0, 60, 20, 65, 30, 80), r"cheesesteak|steak dog|steakhouse|steak & egg|cauliflower|vegan|veggie|extra steak|add steak|chocolate cake|steak fries|filet de saumon"),
+    Rule(r"(?<!cheese)steak(?! dog|house| fries| & egg)|filet(?! de saumon)|ribeye|rib.eye|prime rib", ("steak", 400, 1200, 0, 60, 20, 65, 30, 80), r"cauliflower|vegan|veggie|extra steak|add steak|chocolate cake|steak fries|filet de saumon"),
     Rule(r"fish\s*(?:&|and|'?n'?)\s*chips", ("fish & chips", 700, 1400, 60, 130, 30, 80, 25, 100)),
-    Rule(r"salmon|sea bass|fish", ("fish entree", 300, 900, 5, 80, 10, 50, 15, 60), r"fish.*finger|\b(ipa|ale|lager|stout|porter|pilsner|dogfish|sailfish|swordfish\s+ipa)\b"),
+    Rule(r"salmon|sea bass|fish(?!.*finger)", ("fish entree", 300, 900, 5, 80, 10, 50, 15, 60), r"\b(ipa|ale|lager|stout|porter|pilsner|dogfish|sailfish|swordfish\s+ipa)\b"),
 )
 
 # Words with a lowest and a highest believable calorie count.

@@ -91,7 +91,7 @@ FIBER_EDGE = (
 # Share of calories from protein (4 kcal per gram).
 PROTEIN = (
     Rule(r"steak|beef|ribeye|sirloin|filet|brisket|prime rib|short rib|pot roast|chicken breast|grilled chicken|rotisserie chicken|turkey|duck|salmon|tuna|mahi|swordfish|cod|tilapia|shrimp|lobster|crab|scallop|pork chop|pork tenderloin|lamb chop|lamb shank|eggs benedict|omelet|frittata|quiche", 0.30),
-    Rule(r"ham", 0.30, r"hamburger"),
+    Rule(r"ham(?!burger)", 0.30),
     Rule(r"burger|sandwich|wrap|panini|pulled pork|ribs|carnitas|pasta.*meat|lasagna|bolognese|chili|stew", 0.22, category=ENTREE),
     Rule(r"chicken", 0.22, r"chicken.*salad", category=ENTREE),
     Rule(r"pizza|pasta|noodle|rice bowl|fried rice|pad thai", 0.17, category=ENTREE),
@@ -113,9 +113,9 @@ PROTEIN = (
 # Milligrams of sodium per calorie.  The label "fried snack" reads the item's own flag.
 SODIUM = (
     Rule(r"cured|prosciutto|salami|pepperoni|jamón|bacon|soy sauce|teriyaki|miso", 2.2),
-    Rule(r"ham", 2.2, r"hamburger"),
+    Rule(r"ham(?!burger)", 2.2),
     Rule(r"bbq|ribs|brisket|pulled pork|smoked|carnitas|pizza|soup|broth|ramen|noodle soup|mac.*cheese|quesadilla|sausage|hot dog|pretzel dog", 1.5),
-    Rule(r"cheese", 1.5, r"cheesecake"),
+    Rule(r"cheese(?!cake)", 1.5),
     Rule(r"burger|sandwich|panini|wrap|fried|crispy|tempura|battered|pasta|marinara|alfredo|taco|burrito|fajita|enchilada|nacho", 1.0, category=ENTREE),
     Rule("", 0.75, category=ENTREE),
     Rule(r"chip|fries|tots|pretzel|popcorn|cracker|chicken tender|wing|nugget|\bfried_item\b", 0.85, category=SNACK),
@@ -199,7 +199,7 @@ FAT_PROTEIN = (
 ZERO_NAMES = r"^bottled\s*water|^water$|^premium\s*(bottled\s*)?water|^sparkling\s*water|^mineral\s*water|^spring\s*water|^perrier|^evian|^smartwater|^dasani|^aquafina|h2o.*water|courtesy.*water|^small\s*water|^black\s*coffee$|^brewed\s*coffee$|^coffee$|^hot\s*coffee$|^decaf\s*coffee$|^espresso$|^double\s*espresso$|^americano$|^black\s*tea$|^hot\s*tea$|^iced\s*tea\s*\(unsweetened\)|^unsweetened\s*tea|^green\s*tea$|^herbal\s*tea$|diet\s+(coke|pepsi|soda|sprite)|coke\s*zero|zero\s*sugar|sugar[- ]?free"
 TEMPLATE_COLUMNS = ("template", "calories", "carbs", "fat", "protein", "sugar", "fiber", "sodium")
 TEMPLATES = (
-    Rule(r"soda|cola|sprite|fanta|root beer|dr pepper|pepsi|coke", ("regular_soda", 140, 39, 0, 0, 39, 0, 45), r"coke\s*zero"),
+    Rule(r"soda|cola|sprite|fanta|root beer|dr pepper|pepsi|coke(?!\s*zero)", ("regular_soda", 140, 39, 0, 0, 39, 0, 45)),
     Rule(r"lemonade", ("lemonade", 120, 31, 0, 0, 28, 0, 10)),
     Rule(r"orange\s*juice", ("orange_juice", 110, 26, 0, 2, 22, 0, 0)),
     Rule(r"apple\s*juice", ("apple_juice", 120, 29, 0, 0, 24, 0, 10)),
@@ -268,7 +268,7 @@ TEMPLATES = (
     Rule(r"sausage", ("sausage", 250, 2, 22, 12, 1, 0, 500)),
     Rule(r"breakfast\s*sandwich", ("breakfast_sandwich", 450, 35, 25, 22, 4, 2, 900)),
     Rule(r"fruit\s*cup|mixed\s*fruit", ("fruit_cup", 80, 20, 0, 1, 16, 2, 5)),
-    Rule(r"\bapple\b", ("apple", 95, 25, 0, 0, 19, 4, 2), r"\bapple\b\s*juice"),
+    Rule(r"\bapple\b(?!\s*juice)", ("apple", 95, 25, 0, 0, 19, 4, 2)),
     Rule(r"banana", ("banana", 105, 27, 0, 1, 14, 3, 1)),
     Rule(r"grapes", ("grapes", 100, 27, 0, 1, 23, 1, 3)),
 )

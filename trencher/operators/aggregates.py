@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trencher.functions.numeric import missing
+from trencher.functions.text import edges
 
 PROFILE = ("calories", "carbs", "fat", "protein", "sugar", "sodium")
 ENERGY_PROFILE = ("calories", "carbs", "fat", "protein")
@@ -91,7 +92,7 @@ def _flag_members(rows: DataFrame, groups: DataFrame, keys: tuple[str, ...]) ->
 
 def shared_energy_profiles(wide: DataFrame) -> DataFrame:
     """Every item whose four energy values are shared by three or more dissimilar items."""
-    generic = (F.col("category") == "beverage") & F.lower(F.trim("name")).rlike(GENERIC_DRINKS)
+    generic = (F.col("category") == "beverage") & F.lower(F.trim("name")).rlike(edges(GENERIC_DRINKS))
     rows = wide.where(F.col("calories").isNotNull() & (F.col("calories") != 0) & ~generic)
     name = F.trim(F.regexp_replace(F.lower("name"), r"customized bowl:?\s*", ""))
     groups = _by_profile(rows, ENERGY_PROFILE, F.substring_index(name, " ", 3)).where("items >= 3 AND labels > 2")
@@ -201,7 +202,7 @@ def chain_coverage(wide: DataFrame, restaurants: DataFrame, chains=CHAINS) -> Da
     )
     name = F.lower("restaurant_name")
     hits = F.array(*(
-        F.when(name.rlike(p), F.struct(F.lit(label).alias("chain"), F.lit(official).alias("has_official")))
+        F.when(name.rlike(edges(p)), F.struct(F.lit(label).alias("chain"), F.lit(official).alias("has_official")))
         for p, label, official in chains
     ))
     tagged = restaurants.select("restaurant_id", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
@@ -259,10 +260,10 @@ def ranking_violations(wide: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("calories"), "item_id"))
     top = wide.where(F.col("calories").isNotNull() & F.col("category").isin("beverage", "entree")).withColumn("rank", rank).where("rank <= 30")
     name = F.lower("name")
-    drink = (F.col("category") == "beverage") & (F.col("rank") <= 20) & (F.col("calories") > 100) & name.rlike(
+    drink = (F.col("category") == "beverage") & (F.col("rank") <= 20) & (F.col("calories") > 100) & name.rlike(edges(
         "^(water|unsweetened.*tea|hot tea|brewed coffee|black coffee)"
-    )
-    salad = (F.col("category") == "entree") & (F.col("calories") > 1000) & name.rlike(r"\bsalad\b") & ~name.rlike("loaded|crispy|fried|taco")
+    ))
+    salad = (F.col("category") == "entree") & (F.col("calories") > 1000) & name.rlike(edges(r"\bsalad\b")) & ~name.rlike("loaded|crispy|fried|taco")
     return top.where(drink | salad).withColumn("severity", F.when(drink, "HIGH").otherwise("MEDIUM"))
 
 

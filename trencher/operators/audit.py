@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from trencher.functions import detect
 from trencher.functions.numeric import energy_nulls_zero, energy_of, ratio, round_half_up, zero_if_null
-from trencher.functions.rules import RuleTable, present
+from trencher.functions.rules import RuleTable, bound, present
+from trencher.functions.text import edges
 from trencher.functions.vocab import alcohol as A
 from trencher.functions.vocab import foods
 
@@ -88,9 +89,9 @@ def accuracy_checks() -> list[Check]:
         Check("atwater_deviation", (calories > 0) & (estimate > 0) & severity.isNotNull() & ~detect.likely_alcoholic(),
               severity, "calories", calories, estimate,
               F.format_string("Atwater deviation %.1f%% (stated %d cal vs estimated %d cal)", deviation, calories, estimate)),
-        Check("zero_fat_fried", (F.col("fat") == 0) & (F.col("is_fried") | F.lower("name").rlike(detect.FRIED_PASTRY)), MEDIUM, "fat", F.lit(0),
+        Check("zero_fat_fried", (F.col("fat") == 0) & (F.col("is_fried") | F.lower("name").rlike(edges(detect.FRIED_PASTRY))), MEDIUM, "fat", F.lit(0),
               message=F.lit("Fat is 0g but item appears to be fried/pastry — likely missing data")),
-        Check("zero_protein_meat", (F.col("protein") == 0) & F.lower("name").rlike(detect.MEAT), MEDIUM, "protein", F.lit(0),
+        Check("zero_protein_meat", (F.col("protein") == 0) & F.lower("name").rlike(edges(detect.MEAT)), MEDIUM, "protein", F.lit(0),
               message=F.lit("Protein is 0g but item appears to contain meat — likely missing data")),
     ]
     return checks
@@ -260,9 +261,9 @@ def ratio_checks() -> list[Check]:
               F.when(drink, LOW).when(extreme, HIGH).when(small, LOW).otherwise(MEDIUM)),
         Check("macro-ratio-fried", (calories > 100) & F.col("is_fried") & (fat > 0) & (pct(fat, 9) < 20), MEDIUM),
         Check("macro-ratio-dessert", (calories > 100) & (F.col("category") == "dessert") & (carbs > 0) & (pct(carbs, 4) < 30), LOW),
-        Check("macro-ratio-protein", (calories > 100) & name.rlike(grilled) & (protein > 0) & (pct(protein, 4) < 15), MEDIUM),
+        Check("macro-ratio-protein", (calories > 100) & name.rlike(edges(grilled)) & (protein > 0) & (pct(protein, 4) < 15), MEDIUM),
         Check("sodium-savory", (calories > 200) & (F.col("category") == "entree") & (sodium > 0) & (sodium < 200)
-              & ~name.rlike(detect.DESSERT_LIKE) & ~name.rlike(sweet_drink), LOW),
+              & ~name.rlike(edges(detect.DESSERT_LIKE)) & ~name.rlike(edges(sweet_drink)), LOW),
         Check("sodium-dessert", (calories > 200) & (F.col("category") == "dessert") & (sodium > 1500) & ~described.rlike("pretzel|salted|salt|caramel"), MEDIUM),
         Check("sugar-carbs", (sugar > carbs) & (carbs > 0), HIGH),
         Check("fiber-carbs", (fiber > carbs) & (carbs > 0), HIGH),
@@ -278,8 +279,8 @@ PROFILE_TABLE = RuleTable(foods.PROFILES, foods.PROFILE_COLUMNS)
 
 def check_profiles(wide: DataFrame) -> DataFrame:
     """First matching profile; calories off by a quarter is HIGH, other macros MEDIUM."""
-    rows = wide.where("calories <> 0").withColumn("profile_no", PROFILE_TABLE.first(F.lower("name"))).where("profile_no IS NOT NULL")
-    rows = rows.withColumns({c: PROFILE_TABLE.output(F.col("profile_no"), c) for c in foods.PROFILE_COLUMNS})
+    rows = bound(wide.where("calories <> 0"), profile_no=PROFILE_TABLE.first(F.lower("name"))).where("profile_no IS NOT NULL")
+    rows = bound(rows, **{c: PROFILE_TABLE.output(F.col("profile_no"), c) for c in foods.PROFILE_COLUMNS})
     c = {k: zero_if_null(F.col(k)) for k in ("calories", "carbs", "fat", "protein")}
     energy_off = (c["calories"] < F.col("cal_lo") * F.lit(0.75)) | (c["calories"] > F.col("cal_hi") * F.lit(1.25))
     issues = present(*(
@@ -291,7 +292,7 @@ def check_profiles(wide: DataFrame) -> DataFrame:
             ("protein low", (c["protein"] > 0) & (c["protein"] < F.col("protein_lo") * F.lit(0.5))), ("protein high", c["protein"] > F.col("protein_hi") * F.lit(1.5)),
         )
     ))
-    return rows.withColumn("issues", issues).where("size(issues) > 0").select(
+    return bound(rows, issues=issues).where("size(issues) > 0").select(
         "item_id", "label", F.array_join("issues", "; ").alias("issues"), F.when(energy_off, HIGH).otherwise(MEDIUM).alias("severity")
     )
 
@@ -302,7 +303,7 @@ WATER_NOT = r"watermelon|waterfront|cold water|water chestnut|waterfall|water pa
 def check_water(wide: DataFrame) -> DataFrame:
     name = F.lower("name")
     return run_checks(wide, [
-        Check("category-ranking", (F.col("category") == "beverage") & name.rlike(r"\bwater\b") & ~name.rlike(WATER_NOT) & (F.col("calories") > 20), MEDIUM, "calories", F.col("calories"))
+        Check("category-ranking", (F.col("category") == "beverage") & name.rlike(edges(r"\bwater\b")) & ~name.rlike(edges(WATER_NOT)) & (F.col("calories") > 20), MEDIUM, "calories", F.col("calories"))
     ])
 
 
@@ -324,10 +325,10 @@ def math_checks() -> list[Check]:
     deviation = ratio(F.abs(calories - implied), implied) * 100
     name, category = F.lower("name"), F.col("category")
     is_a = lambda c: category == c
-    diet = name.rlike(MATH_DIET)
-    soda = is_a("beverage") & name.rlike(MATH_SODA) & ~diet
+    diet = name.rlike(edges(MATH_DIET))
+    soda = is_a("beverage") & name.rlike(edges(MATH_SODA)) & ~diet
     sweet = is_a("dessert") & ~name.rlike("sugar.?free")
-    fried_side = is_a("side") & (F.col("is_fried") | name.rlike(MATH_FRIED)) & (calories > 0)
+    fried_side = is_a("side") & (F.col("is_fried") | name.rlike(edges(MATH_FRIED))) & (calories > 0)
     core = sum((F.col(c).isNull().cast("int") for c in ("calories", "carbs", "protein", "fat")), F.lit(0))
     by_five = lambda *cs: [c % 5 == 0 for c in cs]
     round_values = (calories > 0) & (protein > 0) & (carbs > 0) & (fat > 0)
@@ -347,8 +348,8 @@ def math_checks() -> list[Check]:
     checks += [
         Check("plausibility_entree_too_low", is_a("entree") & (calories > 0) & (calories < 100), "CRITICAL", "calories"),
         Check("plausibility_entree_too_high", is_a("entree") & (calories > 3000), "ERROR", "calories"),
-        Check("plausibility_meat_low_protein", is_a("entree") & (protein < 5) & name.rlike(MATH_MEAT), "ERROR", "protein"),
-        Check("plausibility_starch_zero_carbs", is_a("entree") & (carbs == 0) & name.rlike(MATH_STARCH), "ERROR", "carbs"),
+        Check("plausibility_meat_low_protein", is_a("entree") & (protein < 5) & name.rlike(edges(MATH_MEAT)), "ERROR", "protein"),
+        Check("plausibility_starch_zero_carbs", is_a("entree") & (carbs == 0) & name.rlike(edges(MATH_STARCH)), "ERROR", "carbs"),
         Check("plausibility_diet_drink_calories", is_a("beverage") & diet & (calories > 15), "WARNING", "calories"),
         Check("plausibility_soda_low_carbs", soda & (carbs < 15), "ERROR", "carbs"),
         Check("plausibility_soda_has_fat", soda & (fat > 3), "ERROR", "fat"),
@@ -390,8 +391,8 @@ def quality_issues(wide: DataFrame) -> DataFrame:
         for word, bound in foods.TOO_HIGH.items()
     ]
     issues = present(
-        F.when((zero_if_null(calories) == 0) & ~name.rlike(foods.ZERO_ENERGY_DRINKS), "Missing calories"),
-        F.when((calories != 0) & (off > 0.35) & ~name.rlike(A.QUALITY_ALCOHOL), F.format_string("Caloric math off by %d%%", round_half_up(off * 100))),
+        F.when((zero_if_null(calories) == 0) & ~name.rlike(edges(foods.ZERO_ENERGY_DRINKS)), "Missing calories"),
+        F.when((calories != 0) & (off > 0.35) & ~name.rlike(edges(A.QUALITY_ALCOHOL)), F.format_string("Caloric math off by %d%%", round_half_up(off * 100))),
         F.when(_exceeds("sugar", "carbs"), "Sugar exceeds carbs"),
         F.when(_exceeds("fiber", "carbs"), "Fiber exceeds carbs"),
         *low, *high,
@@ -400,7 +401,7 @@ def quality_issues(wide: DataFrame) -> DataFrame:
         *(F.when(F.col(c).isNull(), f"Missing {c}") for c in ("protein", "carbs", "fat", "sodium")),
         F.when(F.col("confidence_score") < 35, F.format_string("Low confidence: %d", "confidence_score")),
     )
-    says = lambda *parts: F.exists("issues", lambda i: i.rlike("|".join(parts)))
+    says = lambda *parts: F.exists("issues", lambda i: i.rlike(edges("|".join(parts))))
     return wide.where("nutrition_id IS NOT NULL").withColumn("issues", issues).where("size(issues) > 0").withColumn(
         "priority",
         F.when(says("Missing calories"), "critical").when(says("math off", "exceeds"), "high")
@@ -411,7 +412,7 @@ def quality_issues(wide: DataFrame) -> DataFrame:
 def real_issues(issues: DataFrame) -> DataFrame:
     """Post-filter that drops expected gaps (zero-calorie drinks, alcohol, coffee)."""
     name = F.lower("name")
-    legit, expected = name.rlike(foods.ZERO_ENERGY_NAMES), name.rlike(A.MISMATCH_EXPECTED)
+    legit, expected = name.rlike(edges(foods.ZERO_ENERGY_NAMES)), name.rlike(edges(A.MISMATCH_EXPECTED))
     food = F.col("category").isin("entree", "dessert", "side", "snack")
     calories = F.col("calories")
     says = lambda text: F.exists("issues", lambda i: i.contains(text))
@@ -451,7 +452,7 @@ def split_valid(nutrition: DataFrame) -> tuple[DataFrame, DataFrame]:
 def check_low_values(wide: DataFrame) -> DataFrame:
     """Values too low for what the name promises."""
     name, calories, carbs = F.lower("name"), F.col("calories"), F.col("carbs")
-    has = lambda *words: name.rlike("|".join(words))
+    has = lambda *words: name.rlike(edges("|".join(words)))
     light = has("water", "diet", "espresso") | (has("coffee") & ~has("frappe") & ~has("latte")) | (has("tea") & ~has("sweet"))
     implied = energy_of()
     pizza = has("pizza") | ((F.col("category") == "entree") & F.lower(F.coalesce("description", F.lit(""))).contains("pizza"))
@@ -485,7 +486,7 @@ def mismatch_bands(wide: DataFrame) -> DataFrame:
     implied = energy_nulls_zero()
     r = ratio(zero_if_null(F.col("calories")), implied)
     band = F.when(r > 2.5, "extreme_over").when(r < 0.5, "extreme_under").otherwise("moderate")
-    return wide.join(high, "item_id", "left_semi").where(~F.lower("name").rlike(MISMATCH_NOT)).select(
+    return wide.join(high, "item_id", "left_semi").where(~F.lower("name").rlike(edges(MISMATCH_NOT))).select(
         "item_id", band.alias("band"), (zero_if_null(F.col("calories")) - implied).alias("gap")
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trencher.functions.detect import display_category, section_header
-from trencher.functions.text import canonical_key, clean_display, display_name
+from trencher.functions.text import canonical_key, clean_display, display_name, edges
 
 CORE = ("calories", "carbs", "fat", "sugar", "protein", "fiber", "sodium", "cholesterol")
 
@@ -125,9 +125,9 @@ def mark_unavailable(wide: DataFrame) -> DataFrame:
     """All-zero, low-confidence records of foods that are not zero by nature lose their values."""
     values = F.array(*(F.col(c) for c in (*CORE, "alcohol_grams")))
     known = F.filter(values, lambda v: v.isNotNull())
-    legit = F.lower(F.when(clean_display(F.col("name")) == "", F.col("name")).otherwise(clean_display(F.col("name")))).rlike(
+    legit = F.lower(F.when(clean_display(F.col("name")) == "", F.col("name")).otherwise(clean_display(F.col("name")))).rlike(edges(
         r"\b(water|black coffee|unsweetened tea|diet coke|diet pepsi|diet soda|club soda|seltzer)\b"
-    )
+    ))
     hit = (
         (F.col("confidence_score") < 70) & (F.col("calories") == 0) & (F.col("carbs") == 0)
         & F.forall(known, lambda v: v == 0) & ~legit
@@ -190,6 +190,6 @@ def merge_children(children: DataFrame, mapping: DataFrame, parent: str, name: s
 
 def rename_unless_taken(items: DataFrame, scope: str, pattern: str) -> DataFrame:
     """Strips a suffix from names unless the clean name already exists in the same scope."""
-    renamed = items.where(F.col("name").rlike(pattern)).withColumn("new_name", F.trim(F.regexp_replace("name", pattern, "")))
+    renamed = items.where(F.col("name").rlike(edges(pattern))).withColumn("new_name", F.trim(F.regexp_replace("name", pattern, "")))
     taken = items.select(F.col(scope).alias("_s"), F.col("name").alias("_n"))
     return renamed.join(taken, (F.col(scope) == F.col("_s")) & (F.col("new_name") == F.col("_n")), "left_anti")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trencher.functions.detect import dish_is_drink
 from trencher.functions.numeric import energy_of, missing, ratio, round_half_up, zero_if_null
 from trencher.functions.rules import RuleTable, bound, present
+from trencher.functions.text import edges
 from trencher.functions.vocab import dishes as DI
 from trencher.functions.vocab import impute as V
 from trencher.functions.vocab import pours as P
@@ -86,7 +87,7 @@ def fill_micros(wide: DataFrame) -> DataFrame:
 def fill_fat(wide: DataFrame) -> DataFrame:
     """Zero fat on fatty foods; zero protein is refilled along the way."""
     text = both_text()
-    rows = wide.where((F.col("fat") == 0) & (F.col("calories") > 50) & text.rlike(V.FATTY) & ~text.rlike(V.FATTY_NOT))
+    rows = wide.where((F.col("fat") == 0) & (F.col("calories") > 50) & text.rlike(edges(V.FATTY)) & ~text.rlike(edges(V.FATTY_NOT)))
     return emit(rows, {
         "fat": round_half_up(F.col("calories") * _share(V.FAT, text) / 9),
         "protein": F.when(F.col("protein") == 0, round_half_up(F.col("calories") * _share(V.FAT_PROTEIN, text) / 4)),
@@ -103,7 +104,7 @@ VALUE_COLUMNS = V.TEMPLATE_COLUMNS[1:]
 def template_estimates(wide: DataFrame) -> DataFrame:
     """Null calories: zero list (confidence 90), else template (30), else the work-list."""
     rows = wide.where(F.col("nutrition_id").isNotNull() & F.col("calories").isNull())
-    zero = F.lower(F.trim("name")).rlike(V.ZERO_NAMES)
+    zero = F.lower(F.trim("name")).rlike(edges(V.ZERO_NAMES))
     rows = rows.withColumn("_no", TEMPLATE_TABLE.first(both_text())).withColumn("_zero", zero)
     method = F.when(F.col("_zero"), "zero").when(F.col("_no").isNotNull(), "template").otherwise("worklist")
     return rows.select(
@@ -145,17 +146,17 @@ def dish_type() -> Column:
     name, both = NAME(), both_text()
     out = F.when(F.lit(False), "")
     for kind, include, exclude, anywhere, category in DI.DISH_RULES:
-        test = name.rlike(include)
+        test = name.rlike(edges(include))
         if exclude:
-            test = test & ~name.rlike(exclude)
+            test = test & ~name.rlike(edges(exclude))
         if anywhere:
-            test = test & both.rlike(anywhere)
+            test = test & both.rlike(edges(anywhere))
         if category:
             test = test & (F.col("category") == category)
         out = out.when(test, kind)
     for kind, include, exclude in DI.COOKED_RULES:
-        test = (F.col("category") == "entree") & name.rlike(include) & name.rlike(DI.PROTEIN_WORDS)
-        out = out.when(test & ~name.rlike(exclude) if exclude else test, kind)
+        test = (F.col("category") == "entree") & name.rlike(edges(include)) & name.rlike(edges(DI.PROTEIN_WORDS))
+        out = out.when(test & ~name.rlike(edges(exclude)) if exclude else test, kind)
     for category, kind in DI.CATEGORY_TYPES.items():
         out = out.when(F.col("category") == category, kind)
     return out.otherwise("generic_entree")
@@ -175,15 +176,15 @@ def ingredient_calories(description: Column) -> Column:
     """Calories added by ingredients the description names, beyond those implied by the dish."""
     by_name: dict[str, tuple[int, Column]] = {}
     for name, cal, include, exclude in DI.INGREDIENTS:
-        test = description.rlike(include)
+        test = description.rlike(edges(include))
         if exclude:
-            test = test & ~description.rlike(exclude)
+            test = test & ~description.rlike(edges(exclude))
         by_name[name] = (cal, by_name[name][1] | test) if name in by_name else (cal, test)
     total = F.lit(0)
     for name, (cal, test) in by_name.items():
         counted = test & ~F.array_contains(F.split("implied", " "), name)
         if name in DI.SIDE_NAMES:
-            counted = counted & ~((F.col("dish_type") == "side") & NAME().rlike(DI.SIDE_NAMES[name]))
+            counted = counted & ~((F.col("dish_type") == "side") & NAME().rlike(edges(DI.SIDE_NAMES[name])))
         total = total + F.when(counted, cal).otherwise(0)
     return total
 
@@ -192,7 +193,7 @@ def ingredient_estimates(wide: DataFrame) -> DataFrame:
     """Dishes far too low for their type or description get a fresh estimate, if it holds together."""
     rows = wide.where(
         (F.col("calories") > 0) & ~((F.coalesce("confidence_score", F.lit(0)) >= 80) & (F.col("source") == "official"))
-        & ~dish_is_drink() & ~F.trim(NAME()).rlike(DI.NOT_A_DISH)
+        & ~dish_is_drink() & ~F.trim(NAME()).rlike(edges(DI.NOT_A_DISH))
     )
     description = F.lower(F.coalesce("description", F.lit("")))
     rows = with_dish_profile(rows)
@@ -210,7 +211,7 @@ def ingredient_estimates(wide: DataFrame) -> DataFrame:
     by_text = (F.length("description") >= 15) & (F.col("_hits") >= 2) & (calories < F.col("_expected") * F.lit(0.7))
     severe = F.when(by_name, calories < F.col("min_cal") * F.lit(0.5)).otherwise(calories < F.col("_expected") * F.lit(0.5))
     rows = rows.where(by_name | F.coalesce(by_text, F.lit(False)))
-    factor = F.when(both_text().rlike(DI.FRIED_METHOD), 1.25).otherwise(1.0)
+    factor = F.when(both_text().rlike(edges(DI.FRIED_METHOD)), 1.25).otherwise(1.0)
     rows = bound(rows, _added=ingredient_calories(description))
     rows = bound(rows, new_calories=F.least(round_half_up((F.col("base") + F.col("_added")) * factor), F.col("max_cal")))
     new = F.col("new_calories")
@@ -226,7 +227,7 @@ def ingredient_estimates(wide: DataFrame) -> DataFrame:
         F.when(severe, "CRITICAL").otherwise("SIGNIFICANT").alias("severity"),
         new.alias("calories"), F.col("new_fat").alias("fat"), F.col("new_carbs").alias("carbs"), F.col("new_protein").alias("protein"),
         F.col("new_sugar").alias("sugar"), F.col("fiber_g").alias("fiber"), F.col("sodium_mg").alias("sodium"),
-        F.when(description.rlike(DI.ANIMAL_WORDS), 75).otherwise(15).alias("cholesterol"),
+        F.when(description.rlike(edges(DI.ANIMAL_WORDS)), 75).otherwise(15).alias("cholesterol"),
     )
 
 
@@ -279,7 +280,7 @@ SCALED = ("calories", "carbs", "fat", "protein", "sugar", "fiber", "sodium", "ch
 def adjust_portions(wide: DataFrame) -> DataFrame:
     """Literal overrides first (confidence 80), else every nutrient times the class factor."""
     name, desc = NAME(), F.lower(F.coalesce("description", F.lit("")))
-    any_of = lambda target: lambda *words: target.rlike("|".join(words))
+    any_of = lambda target: lambda *words: target.rlike(edges("|".join(words)))
     rules = portion_rules(any_of(name), any_of(desc), lambda category: F.col("category") == category)
     factor, label = F.when(F.lit(False), 0.0), F.when(F.lit(False), "")
     number = F.when(F.lit(False), 0)
@@ -322,11 +323,11 @@ def drink_class() -> Column:
     targets = {"name": name, "both": both, "beer": F.regexp_replace(both, P.SOFT_BEERS, "")}
     out = F.when(F.lit(False), "")
     for label, scope, include, exclude, also in P.DRINK_CLASSES:
-        test = targets[scope].rlike(include)
+        test = targets[scope].rlike(edges(include))
         if exclude:
-            test = test & ~both.rlike(exclude)
+            test = test & ~both.rlike(edges(exclude))
         if also:
-            test = test & both.rlike(also)
+            test = test & both.rlike(edges(also))
         out = out.when(test, label)
     return out
 
@@ -367,7 +368,7 @@ def pour_ounces(text: Column, kind: str) -> Column:
     """Stated ounces within believable bounds, else the vessel, else the usual pour."""
     low, high = (4, 32) if kind == "beer" else (2, 12)
     stated = F.regexp_extract(text, P.OUNCES, 1).try_cast("int")
-    has = lambda p: text.rlike(p)
+    has = lambda p: text.rlike(edges(p))
     out = F.when(stated.between(low, high), stated)
     if kind == "beer":
         return (
@@ -385,20 +386,20 @@ def refine_alcohol(wide: DataFrame) -> DataFrame:
     beers, shots, liqueurs = (RuleTable(t, ("v",)) for t in (P.BEER_ABV, P.COCKTAIL_SHOTS, P.LIQUEUR_ABV))
     name, text = NAME(), both_text()
     desc = F.lower(F.coalesce("description", F.lit("")))
-    likely = name.rlike(P.WINE_NAME)
+    likely = name.rlike(edges(P.WINE_NAME))
     wine = F.when(F.lit(False), 0)
     for i, (pattern, _) in enumerate(P.WINE_ABV, start=1):
-        wine = wine.when(name.rlike(pattern) | (likely & desc.rlike(pattern)), i)
+        wine = wine.when(name.rlike(edges(pattern)) | (likely & desc.rlike(edges(pattern))), i)
     rows = bound(wide.where((F.col("category") == "beverage") & (F.col("alcohol_grams") > 0)),
                  _shots_no=shots.first(name), _beer_no=beers.first(F.regexp_replace(text, "ginger ale|root beer|birch beer", "")),
                  _liqueur_no=liqueurs.first(text), _wine_no=wine, _desc_shots=described_shots(F.col("description")),
-                 _beer_pour=pour_ounces(text, "beer"), _pour=F.when(text.rlike(P.SAKE), pour_ounces(text, "sake")).otherwise(pour_ounces(text, "wine")))
+                 _beer_pour=pour_ounces(text, "beer"), _pour=F.when(text.rlike(edges(P.SAKE)), pour_ounces(text, "sake")).otherwise(pour_ounces(text, "wine")))
     recipe = shots.output(F.col("_shots_no"), "v")
     better = (F.col("_desc_shots") > recipe) & (F.col("_desc_shots") <= recipe * F.lit(1.5))
     wine_abv = F.try_element_at(F.array(*(F.lit(v) for _, v in P.WINE_ABV)), F.col("_wine_no"))
     pour = F.col("_pour")
-    irish, coffee = text.rlike("irish coffee"), text.rlike(P.LIQUEUR_COFFEE)
-    food = name.rlike(P.FOOD_NOT_DRINK)
+    irish, coffee = text.rlike("irish coffee"), text.rlike(edges(P.LIQUEUR_COFFEE))
+    food = name.rlike(edges(P.FOOD_NOT_DRINK))
     method = (
         F.when(food, "food").when(F.col("_shots_no").isNotNull(), "cocktail_recipe").when(irish | coffee, "liqueur_coffee")
         .when(F.col("_beer_no").isNotNull(), "beer_brand_abv").when(F.col("_desc_shots") > 0, "cocktail_description_parse")
@@ -425,11 +426,11 @@ def tag_allergens(items: DataFrame, existing: DataFrame) -> DataFrame:
     t = F.col("_text")
     hits = []
     for allergen, contains, may, exclude in V.ALLERGENS:
-        severity = F.when(t.rlike(V.allergen_pattern(contains)), "contains")
+        severity = F.when(t.rlike(edges(V.allergen_pattern(contains))), "contains")
         if may:
-            severity = severity.when(t.rlike(V.allergen_pattern(may)), "may_contain")
+            severity = severity.when(t.rlike(edges(V.allergen_pattern(may))), "may_contain")
         if exclude:
-            severity = F.when(~t.rlike(exclude), severity)
+            severity = F.when(~t.rlike(edges(exclude)), severity)
         hits.append(F.when(severity.isNotNull(), F.struct(F.lit(allergen).alias("allergen_type"), severity.alias("severity"))))
     tagged = rows.select("item_id", F.explode(present(*hits)).alias("a")).select("item_id", "a.*")
     return tagged.join(existing.select("item_id", "allergen_type"), ["item_id", "allergen_type"], "left_anti")

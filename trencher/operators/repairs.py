@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trencher.functions.numeric import energy_nulls_zero, energy_of, round_half_up, zero_if_null
+from trencher.functions.text import edges
 from trencher.operators.fixes import capped_confidence, emit
 
 # Confidence of a repair and of plain coffee, trusted official records, and limits.
@@ -49,10 +50,10 @@ def calorie_mismatch(wide: DataFrame) -> DataFrame:
     estimate = energy_nulls_zero()
     of_calories = lambda share, per: round_half_up(calories * share / F.lit(per))
     low = (calories > 0) & (estimate > 0) & (calories < estimate * FAR_TOO_LOW)
-    plain = name.rlike(COFFEE) & ~told.rlike(NOT_PLAIN) & ((protein > 5) | (carbs > 5) | (fat > 2))
-    chicken = name.rlike(WHOLE_CHICKEN) & (protein < 15) & (calories > 400)
-    stew = name.rlike(SEAFOOD_STEW) & (protein < 10) & (calories > 400)
-    dry = (fat == 0) & (calories > 400) & told.rlike(COOKED_MEAT)
+    plain = name.rlike(edges(COFFEE)) & ~told.rlike(edges(NOT_PLAIN)) & ((protein > 5) | (carbs > 5) | (fat > 2))
+    chicken = name.rlike(edges(WHOLE_CHICKEN)) & (protein < 15) & (calories > 400)
+    stew = name.rlike(edges(SEAFOOD_STEW)) & (protein < 10) & (calories > 400)
+    dry = (fat == 0) & (calories > 400) & told.rlike(edges(COOKED_MEAT))
     case = F.when(low, "calories_too_low").when(plain, "plain_coffee").when(chicken, "chicken_protein").when(stew, "seafood_protein").when(dry, "meat_fat")
     rows = wide.where(F.col("nutrition_id").isNotNull() & ((estimate >= 50) | (calories >= 50))).withColumn("case", case).where("case IS NOT NULL")
     c = F.col("case")
@@ -72,8 +73,8 @@ def extreme_values(wide: DataFrame) -> DataFrame:
     much_carbs, much_energy, much_fiber = F.col("carbs") > MOST_CARBS, F.col("calories") > MOST_CALORIES, F.col("fiber") > MOST_FIBER
     fewer = round_half_up(F.coalesce("calories", F.lit(800)) * 0.45 / F.lit(4.0))
     half = lambda c: F.when(much_energy, round_half_up(F.col(c) / F.lit(2.0)))
-    share = F.when(name.rlike(SWEETS), 0.55).otherwise(0.2)
-    savoury = (F.col("sugar") == F.col("carbs")) & (F.col("carbs") > SUGAR_IS_CARBS) & name.rlike(SAVOURY)
+    share = F.when(name.rlike(edges(SWEETS)), 0.55).otherwise(0.2)
+    savoury = (F.col("sugar") == F.col("carbs")) & (F.col("carbs") > SUGAR_IS_CARBS) & name.rlike(edges(SAVOURY))
     updates = {
         "carbs": F.when(much_carbs, fewer).otherwise(half("carbs")),
         "sugar": F.when(savoury, round_half_up(F.col("carbs") * 0.1)).when(much_carbs & (F.col("sugar") > fewer), round_half_up(fewer * share)).otherwise(half("sugar")),

@@ -35,7 +35,8 @@ def match_menus(scraped: DataFrame, parks: DataFrame, restaurants: DataFrame, it
     any other is ``new``; null parks and names match nothing.
     """
     given = scraped.select("dish_id", F.lower("park").alias("park_"), match_name(F.col("restaurant")).alias("restaurant_"), match_name(F.col("name")).alias("name_"))
-    of_park = matching.within(scraped.select(F.col("park").alias("name")).where("name IS NOT NULL"), parks.select(F.col("park_id").alias("id"), F.col("park_name").alias("name")))
+    given = stored(given, "dishes")
+    of_park = matching.within(given.select(F.col("park_").alias("name")).where("name IS NOT NULL"), parks.select(F.col("park_id").alias("id"), F.col("park_name").alias("name")))
     there = restaurants.join(of_park.withColumnRenamed("id", "park_id"), "park_id").select(
         F.col("asked").alias("block"), match_name(F.col("restaurant_name")).alias("name"), F.col("restaurant_id").alias("id"))
     place = matching.fuzzy_best(given.select(F.col("park_").alias("block"), F.col("restaurant_").alias("name")), there, RESTAURANT_FLOOR)

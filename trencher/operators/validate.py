@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trencher.functions.rules import present
+from trencher.functions.text import edges
 
 # Names of drinks whose energy is not in their macros, and dishes that are only named after one.
 DRINKS = (
@@ -35,7 +36,7 @@ def soft_findings(nutrition: DataFrame, items: DataFrame) -> DataFrame:
     no drink; unknown macros have no estimate.
     """
     name = F.lower(F.coalesce("name", F.lit("")))
-    any_of = lambda patterns: F.greatest(*[name.rlike(p).cast("int") for p in patterns]) == 1
+    any_of = lambda patterns: F.greatest(*[name.rlike(edges(p)).cast("int") for p in patterns]) == 1
     estimate = F.col("protein") * 4 + F.col("carbs") * 4 + F.col("fat") * 9
     deviation = F.abs(F.col("calories") - estimate) / F.when(estimate > 0, estimate.cast("double"))
     off = F.struct(F.lit("atwater_deviation").alias("check_name"), F.when(deviation > HIGH_DEVIATION, "HIGH").otherwise("MEDIUM").alias("severity"),

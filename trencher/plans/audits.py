@@ -9,6 +9,7 @@ from trencher.functions.vocab import alcohol as A
 from trencher.functions.vocab import drinks as D
 from trencher.functions.vocab import foods
 from trencher.operators import audit
+from trencher.plans import looks
 from trencher.plans.catalogue import quoted
 from trencher.plans.registry import query
 
@@ -16,9 +17,10 @@ NAME = "lower(name)"
 
 
 def rx(text: str, pattern: str) -> str:
-    """Regex test in the checking SQL (its engine has no look-arounds; the data does not need them)."""
-    for look in (r"(?!\s*chicken)", r"(?!\s*stout)"):
-        pattern = pattern.replace(look, "")
+    """Regex test in the checking SQL: what a look-ahead forbids is blanked out of the text instead."""
+    for look, blank in ((r"(?!\s*chicken)", r"corona\s*chicken"), (r"(?!\s*stout)", r"milk\s*stout")):
+        if look in pattern:
+            pattern, text = pattern.replace(look, ""), f"regexp_replace({text}, '{blank}', '#', 'g')"
     return f"regexp_matches({text}, {quoted(pattern)})"
 
 
@@ -259,11 +261,11 @@ def rules_sql(rules, columns) -> str:
         return quoted(v) if isinstance(v, str) or v is None else str(v)
 
     return "(VALUES " + ", ".join(
-        f"({i}, {quoted(r.include)}, {quoted(r.exclude)}, {', '.join(lit(v) for v in (r.out if isinstance(r.out, tuple) else (r.out,)))})" for i, r in enumerate(rules, 1)
-    ) + f") r(prio, inc, exc, {', '.join(columns)})"
+        f"({i}, {looks.parts(r.include)}, {quoted(r.exclude)}, {', '.join(lit(v) for v in (r.out if isinstance(r.out, tuple) else (r.out,)))})" for i, r in enumerate(rules, 1)
+    ) + f") r(prio, inc, bare, blank, cut, exc, {', '.join(columns)})"
 
 
-@query("profile_findings", f""", n AS (SELECT DISTINCT {NAME} AS ln FROM wide), m AS (SELECT ln, r.* FROM n JOIN {rules_sql(foods.PROFILES, foods.PROFILE_COLUMNS)} ON regexp_matches(ln, inc) AND NOT coalesce(regexp_matches(ln, exc), false)
+@query("profile_findings", f""", n AS (SELECT DISTINCT {NAME} AS ln FROM wide), m AS (SELECT ln, r.* FROM n JOIN {rules_sql(foods.PROFILES, foods.PROFILE_COLUMNS)} ON {looks.test("ln")} AND NOT coalesce(regexp_matches(ln, exc), false)
    QUALIFY row_number() OVER (PARTITION BY ln ORDER BY prio) = 1), v AS (SELECT item_id, calories AS c, coalesce(carbs, 0) AS cb, coalesce(fat, 0) AS f, coalesce(protein, 0) AS p, m.* FROM wide JOIN m ON {NAME} = ln WHERE calories <> 0)
  SELECT item_id, label, concat_ws('; ', CASE WHEN c < cal_lo * 0.75 THEN 'calories low' END, CASE WHEN c > cal_hi * 1.25 THEN 'calories high' END, CASE WHEN cb > 0 AND cb < carb_lo * 0.6::DOUBLE THEN 'carbs low' END, CASE WHEN cb > carb_hi * 1.4::DOUBLE THEN 'carbs high' END,
   CASE WHEN f > 0 AND f < fat_lo * 0.5 THEN 'fat low' END, CASE WHEN f > fat_hi * 1.5 THEN 'fat high' END, CASE WHEN p > 0 AND p < protein_lo * 0.5 THEN 'protein low' END, CASE WHEN p > protein_hi * 1.5 THEN 'protein high' END) AS issues,

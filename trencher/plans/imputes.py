@@ -9,6 +9,7 @@ from trencher.functions.vocab import drinks as D
 from trencher.functions.vocab import impute as V
 from trencher.functions.vocab import pours as P
 from trencher.operators import fixes, impute
+from trencher.plans import looks
 from trencher.plans.audits import ATWATER, NAME, pairs, rx
 from trencher.plans.catalogue import quoted
 from trencher.plans.registry import query
@@ -28,14 +29,14 @@ def first_rule(alias: str, source: str, rules, columns, text: str = BOTH) -> str
     """View with the outputs of the first matching rule per row: all rules are joined
     to the distinct texts and the lowest number is kept."""
     rows = ", ".join(
-        f"({i}, {lit(r.include)}, {lit(r.also)}, {lit(r.exclude)}, {lit(','.join(r.category)) if r.category else 'NULL'}, "
+        f"({i}, {looks.parts(r.include)}, {lit(r.also)}, {lit(r.exclude)}, {lit(','.join(r.category)) if r.category else 'NULL'}, "
         + ", ".join(lit(v) for v in (r.out if isinstance(r.out, tuple) else (r.out,))) + ")"
         for i, r in enumerate(rules, 1)
     )
     cols = ", ".join(columns)
     return f""", {alias}_t AS (SELECT DISTINCT {text} AS tx, category AS ct FROM {source}),
- {alias} AS (SELECT tx, ct, {cols} FROM {alias}_t JOIN (VALUES {rows}) r(prio, inc, also, exc, cats, {cols})
-  ON regexp_matches(tx, inc) AND coalesce(regexp_matches(tx, also), true) AND NOT coalesce(regexp_matches(tx, exc), false) AND coalesce(list_contains(string_split(cats, ','), ct), true)
+ {alias} AS (SELECT tx, ct, {cols} FROM {alias}_t JOIN (VALUES {rows}) r(prio, inc, bare, blank, cut, also, exc, cats, {cols})
+  ON {looks.test("tx")} AND coalesce(regexp_matches(tx, also), true) AND NOT coalesce(regexp_matches(tx, exc), false) AND coalesce(list_contains(string_split(cats, ','), ct), true)
   QUALIFY row_number() OVER (PARTITION BY tx, ct ORDER BY prio) = 1)"""
 
 

@@ -11,7 +11,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trencher.functions.text import decode_entities, strip_tags
+from trencher.functions.text import decode_entities, edges, strip_tags
 
 # Names that are no dishes, the schema of the older layout, and the least length of a name on a page.
 NOT_A_DISH, OLD_SCHEMA, LEAST_NAME = "allergen note", "K2 Restaurant Menu", 3
@@ -21,7 +21,7 @@ BLANK = r"[\s ]"
 def infer_category(name: Column) -> Column:
     """Category by the words of a scraped name, first rule first; null where none fits."""
     n = F.lower(name)
-    word = lambda words: n.rlike(rf"(?<![a-z0-9_])(?:{words})(?![a-z0-9_])")
+    word = lambda words: n.rlike(edges(rf"(?<![a-z0-9_])(?:{words})(?![a-z0-9_])"))
     # The words of each category.
     drinks = "drink|soda|lemonade|tea|coffee|smoothie|shake|beer|wine|cocktail|margarita|juice|water|milk"
     sweets = "cookie|cake|brownie|sundae|ice cream|gelato|mousse|pudding|churro|funnel|waffle|donut|cupcake|pie|tart|cobbler|crisp"
@@ -137,7 +137,7 @@ def menu_pages(pages: DataFrame, key: str = "page_id", html: str = "html", scope
     def of_item(item: Column) -> Column:
         text = _text(item)
         priced = r"(?s)^(.+?)\s*[-–]\s*\$?([\d.]+)$"
-        return F.struct(F.when(text.rlike(priced), F.trim(F.regexp_extract(text, priced, 1))).otherwise(text).alias("name"), none.alias("description"),
+        return F.struct(F.when(text.rlike(edges(priced)), F.trim(F.regexp_extract(text, priced, 1))).otherwise(text).alias("name"), none.alias("description"),
                         F.regexp_extract(text, priced, 2).alias("price"))
 
     dishes = lambda c: F.filter(c, lambda d: F.length(d["name"]) >= LEAST_NAME)
