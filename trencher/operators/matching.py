@@ -155,6 +155,12 @@ def _chunk_keys(name: Column, above: float, longer: bool) -> Column:
     return F.when(n >= math.floor(SHORT * above), F.flatten(F.transform(F.sequence(F.lit(0), edits), near))).otherwise(none)
 
 
+def _half_keys(name: Column, letters: int) -> tuple[Column, Column]:
+    """Words of ``letters`` at least, ranked, and those of them of which two names with half the longer one's words in common share one."""
+    ranked = F.filter(_ranked_words(name), lambda w: F.length(w) >= letters)
+    return ranked, F.transform(F.slice(ranked, 1, F.size(ranked) - F.ceil(F.size(ranked) / 2).cast("int") + 1), lambda w: F.xxhash64(w))
+
+
 # --- joins --------------------------------------------------------------------------
 
 def _names(df: DataFrame, block: str, name: str) -> DataFrame:
@@ -214,6 +220,18 @@ def contained_pairs(left: DataFrame, right: DataFrame, block: str = "block", nam
     return longer.unionByName(shorter).distinct().where(F.contains("asked", F.col("known")) | F.contains("known", F.col("asked")))
 
 
+def half_pairs(left: DataFrame, right: DataFrame, letters: int, block: str = "block", name: str = "name") -> DataFrame:
+    """``block, asked, known, share`` of names with at least half of the longer one's words in common.
+
+    Words of fewer than ``letters`` letters do not count; names without others match nothing.
+    """
+    asked, known = _named(left, block, name), _named(right, block, name)
+    own = lambda c: _half_keys(F.col(c), letters)
+    x, y = own("asked")[0], own("known")[0]
+    share = F.size(F.array_intersect(x, y)).cast("double") / F.greatest(F.size(x), F.size(y))
+    return _met(asked, known, own("name")[1], own("name")[1]).withColumn("share", share).where("share >= 0.5")
+
+
 def best_of(pairs: DataFrame, ids: DataFrame, asked: list[str], score: str = "score", key: str = "id") -> DataFrame:
     """For each ``asked``, the ``key`` of the best score, ties to the least; ``ids`` has ``block, name, key``."""
     least = ids.where(f"{key} IS NOT NULL").groupBy(F.col("block"), F.col("name").alias("known")).agg(F.min(key).alias(key))
