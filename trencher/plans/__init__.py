@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("browse", "structure", "audits", "imputes", "daily", "merges", "doses", "matching", "imports", "repairs", "templates", "chains")
+MODULES = ("browse", "structure", "audits", "imputes", "daily", "merges", "doses", "matching", "imports", "repairs", "templates", "chains", "reference")
 
 
 def load_queries() -> None:
