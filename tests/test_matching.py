@@ -6,7 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import SMOKE_FOLDER
 from trencher.operators import imports, matching, resolve
+from trencher.operators.storage import stored
+from trencher.plans.catalogue import Catalogue
 
 NAMES = "block string, name string"
 
@@ -158,3 +161,28 @@ def test_a_second_import_adds_nothing(spark, loose):
 def test_approval_is_safe_for_nulls(spark):
     rows = spark.createDataFrame([(70, True, False), (69, True, False), (None, True, False), (80, False, False), (80, True, True), (80, None, None)], "confidence int, has_nutrition boolean, needs_manual boolean")
     assert [r["approved"] for r in imports.approved(rows).collect()] == [True, False, False, False, False, False]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_of_names_are_not_broadcast(spark):
+    # A name of 30 characters has hundreds of keys; the planner counts the file that the name came from.
+    names = stored(spark.createDataFrame([("p", f"grilled chicken sandwich {i:03d}") for i in range(60)] + [(None, "none"), ("q", None)], "block string, name string"), "names")
+    for pairs in (matching.edit_pairs(names, names, 0.75), matching.contained_pairs(names, names), matching.half_pairs(names, names, 3)):
+        assert "BroadcastHashJoin" not in _plan(pairs)
+        assert pairs.where("asked = known").count() == 60
+
+
+def test_parts_of_known_names_are_not_broadcast(spark):
+    known = stored(spark.createDataFrame([(i, f"The Old Smokehouse {i}") for i in range(50)], "id long, name string"), "known")
+    found = matching.within(known.select("name"), known)
+    assert not any("Generate" in part for part in _plan(found).split("BroadcastExchange")[1:])
+    assert found.where("asked = 'the old smokehouse 1'").count() == 11
+
+
+def test_narrow_catalogue_has_the_rows_of_the_wide_one(spark):
+    cat = Catalogue(spark, SMOKE_FOLDER)
+    columns = ["item_id", "restaurant_id", "name", "restaurant_name", "park_name", "calories", "sodium"]
+    assert sorted(map(str, cat.wide_of(*columns).collect())) == sorted(map(str, cat.wide.select(*columns).collect()))
