@@ -50,7 +50,8 @@ def match_chains(published: DataFrame, restaurants: DataFrame, wide: DataFrame)
     ids = stored(items.groupBy("block", "name").agg(F.min("id").alias("id")).where("name IS NOT NULL"), "items")
     names = asked.select(F.col("chain").alias("block"), F.col("name_").alias("name"))
     inside = matching.contained_pairs(names, ids).withColumn("score", F.when(F.col("asked") == F.col("known"), EQUAL).otherwise(CONTAINED))
-    pairs = inside.unionByName(matching.half_pairs(names, ids, LETTERS).withColumnRenamed("share", "score").join(inside.select("block", "asked", "known"), ["block", "asked", "known"], "left_anti"))
+    inside = stored(inside, "inside")
+    pairs = inside.unionByName(matching.half_pairs(names, ids, LETTERS).withColumnRenamed("share", "score").join(inside.select("block", "asked", "known").hint("merge"), ["block", "asked", "known"], "left_anti"))
     best = matching.best_of(pairs, ids, ["block", "asked"]).toDF("chain", "name_", "item_id", "score")
     record = wide.select("item_id", F.col("nutrition_id").isNotNull().alias("has"), (F.coalesce("confidence_score", F.lit(0)) >= TRUSTED).alias("sure"))
     found = asked.join(best, ["chain", "name_"], "left").join(record, "item_id", "left")

@@ -31,5 +31,6 @@ found AS (SELECT chain_item_id, b.item_id, b.score, CASE WHEN b.item_id IS NULL
   FROM published LEFT JOIN best b USING (chain, asked) LEFT JOIN wide w ON w.item_id = b.item_id)
 SELECT *, status = 'updated' AND chain_item_id = max(chain_item_id) OVER (PARTITION BY item_id, status) AS written FROM found""")
 def chain_matches(cat):
-    published = cat.wide.where("item_id % 4 = 0").selectExpr("item_id AS chain_item_id", f"{_PLACE} AS chain", "array('bakery', 'smokehouse') AS aliases", f"{_NAME} AS name")
-    return chains.match_chains(published, cat.restaurants, cat.wide)
+    wide = cat.wide_of("item_id", "restaurant_id", "name", "nutrition_id", "confidence_score")
+    published = wide.where("item_id % 4 = 0").selectExpr("item_id AS chain_item_id", f"{_PLACE} AS chain", "array('bakery', 'smokehouse') AS aliases", f"{_NAME} AS name")
+    return chains.match_chains(published, cat.restaurants, wide)
