@@ -186,3 +186,33 @@ def test_narrow_catalogue_has_the_rows_of_the_wide_one(spark):
     cat = Catalogue(spark, SMOKE_FOLDER)
     columns = ["item_id", "restaurant_id", "name", "restaurant_name", "park_name", "calories", "sodium"]
     assert sorted(map(str, cat.wide_of(*columns).collect())) == sorted(map(str, cat.wide.select(*columns).collect()))
+
+
+def test_photos_take_turns_without_a_job_for_each_loser(spark):
+    # 60 photos of two kinds want the same 60 items: rounds that move losers by one place took dozens of jobs.
+    items = spark.createDataFrame([(i, "p", "Grilled Chicken Sandwich") for i in range(60)] + [(100 + i, "q", "Grilled Chicken Sandwich") for i in range(3)], "item_id long, park string, name string")
+    photos = spark.createDataFrame([(i, "p", ["grilled", "chicken", "large" if i % 2 else "classic"]) for i in range(70)] + [(100, "q", ["chicken", "sandwich"])], "photo_id long, park string, keywords array<string>")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    found = {r["photo_id"]: r["item_id"] for r in resolve.match_photos(photos, items).collect()}
+    assert found == {**{i: i for i in range(60)}, 100: 100}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(before) < 120
+
+
+def test_photos_against_taking_turns(spark):
+    rng = random.Random(11)
+    words = ("grilled", "chicken", "turkey", "salad", "large", "sandwich")
+    items = [(i, rng.choice("pq"), " ".join(rng.sample(words, rng.randrange(2, 5)))) for i in rng.sample(range(500), 60)]
+    photos = [(i, rng.choice("pq"), [rng.choice(words) for _ in range(rng.randrange(2, 5))]) for i in rng.sample(range(500), 70)]
+    want, taken = {}, set()
+    for photo, park, keywords in sorted(photos):
+        scores = []
+        for item, where, name in items:
+            own = set(name.split(" "))
+            hits = sum(k in own for k in keywords)
+            if where == park and item not in taken and hits >= 2 and hits / len(own) ** 0.5 >= 0.6:
+                scores.append((-hits / len(own) ** 0.5, item))
+        if scores:
+            taken.add(min(scores)[1])
+            want[photo] = min(scores)[1]
+    found = resolve.match_photos(spark.createDataFrame(photos, "photo_id long, park string, keywords array<string>"), spark.createDataFrame(items, "item_id long, park string, name string"))
+    assert {r["photo_id"]: r["item_id"] for r in found.collect()} == want
