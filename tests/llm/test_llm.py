@@ -213,3 +213,15 @@ def test_reading_back_needs_the_escapes(spark, monkeypatch):
     monkeypatch.setattr(chat, "ESCAPES", [])
     broken = {r["conv_id"]: tuple(r)[1:5] for r in chat.read_back(chat.format_turns(given)).collect()}
     assert broken[1][0] == 3 and broken[1] != found[1]
+
+
+def test_examples_are_written_out_with_their_contexts(spark):
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", "a\n"), (None, 2, "user", "r"), (None, 3, "assistant", ""), (None, 4, "user", "s"), (2, 0, "user", "only"), (3, 0, "assistant", "x"), (3, 0, "assistant", "x")]
+    turns = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = Counter((r["conv_id"], r["until"], r["example"]) for r in chat.expanded(turns).collect())
+    assert found == {(None, 1, 0): 2, (None, 3, 1): 4, (None, 4, None): 5, (2, 0, None): 1, (3, 0, 0): 1, (3, 1, 1): 2}
+    read = {(r["conv_id"], r["until"]): (r["n_turns"], r["learned"]) for r in chat.read_examples(chat.expanded(turns)).collect()}
+    assert read == {(None, 1): (2, "a\n"), (None, 3): (4, ""), (None, 4): (5, None), (2, 0): (1, None), (3, 0): (1, "x"), (3, 1): (2, "x")}
+    # A part that an example lacks shows in what is read back from it.
+    short = chat.read_examples(chat.expanded(turns).where("NOT (conv_id IS NULL AND until = 3 AND position = 1)"))
+    assert {r["until"]: r["n_turns"] for r in short.where("conv_id IS NULL").collect()} == {1: 2, 3: 3, 4: 5}

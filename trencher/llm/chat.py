@@ -6,9 +6,10 @@ role, ``\\``); dropping each backslash restores them, so formatting is exactly
 reversible.
 
 Every assistant turn is an example of its own: its context is the conversation's
-formatted text before the turn, and only its text is trainable.  Prefixes of one
-text are kept as ends within it, not as copies, so the output grows with the
-conversation and not with its square; ``example_texts`` writes them out.
+formatted text before the turn, and only its text is trainable.  ``format_turns``
+places the turns, ``expanded`` writes every example out with its context, and
+``read_back`` reads the examples.  Examples grow with the square of a
+conversation's turns; they travel turn by turn, so none is in memory whole.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trencher.llm.shared import type_of
+from trencher.llm.shared import stored, type_of
 
 HEAD, ROLE_END, TURN_END = "### ", ": ", "</turn>\n"
 #: Control strings and what stands for them inside texts, in this order.
@@ -62,25 +63,37 @@ def format_turns(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
                     first.alias("loss_start"), (first + F.col("in_body")).alias("loss_end"))
 
 
-def example_texts(turns: DataFrame) -> DataFrame:
-    """``conv_id, example, text, loss_start, loss_end``: every example with its context written out.
+def expanded(turns: DataFrame) -> DataFrame:
+    """The examples, turn by turn: ``conv_id, until, example, position, formatted, start, loss_start, loss_end``.
 
-    The text of each example holds all before it, so this is for conversations
-    whose text squared may be stored.
+    ``until`` is the example's last position, its target's; the spans are set
+    there only.  A conversation that goes on after its last target, or has none,
+    is once more there as a whole with a null ``example``, and trains nothing.
     """
-    so_far = Window.partitionBy("conv_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    return turns.withColumn("text", F.array_join(F.collect_list("formatted").over(so_far), "")).where("example IS NOT NULL").select(
-        "conv_id", "example", "text", "loss_start", "loss_end")
+    ends = turns.where("example IS NOT NULL").select("conv_id", F.col("position").alias("until"), F.col("example").alias("nth"))
+    last = turns.groupBy("conv_id").agg(F.max("position").alias("until"), F.max(F.when(F.col("example").isNotNull(), F.col("position"))).alias("target"))
+    rest = last.where("target IS NULL OR target < until").select("conv_id", "until", F.lit(None).cast("long").alias("nth"))
+    ends = ends.unionByName(rest).withColumnRenamed("conv_id", "of")
+    at_end = lambda c: F.when(F.col("position") == F.col("until"), F.col(c)).alias(c)
+    met = turns.join(ends, turns["conv_id"].eqNullSafe(ends["of"]) & (turns["position"] <= ends["until"]))
+    return met.select("conv_id", "until", F.col("nth").alias("example"), "position", "formatted", "start", at_end("loss_start"), at_end("loss_end"))
+
+
+def example_texts(turns: DataFrame) -> DataFrame:
+    """``conv_id, example, text, loss_start, loss_end``: every example with its context as one text."""
+    parts = F.array_sort(F.collect_list(F.struct("position", "formatted")))
+    text = F.array_join(F.transform(parts, lambda p: p["formatted"]), "").alias("text")  # one example: one value of the output
+    return expanded(turns).where("example IS NOT NULL").groupBy("conv_id", "example").agg(text, F.max("loss_start").alias("loss_start"), F.max("loss_end").alias("loss_end"))
 
 
 class _Reader:
-    """Reads one conversation's formatted text as a stream; where turns begin and end it finds out itself."""
+    """Reads one example's formatted text as a stream; where turns begin and end it finds out itself."""
 
     turn = re.compile(r"### ((?:[^\\:]|\\.)*): (.*?)</turn>\n", re.DOTALL)
 
     def __init__(self):
-        self.left, self.n, self.chars, self.loss_chars = "", 0, 0, 0
-        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.left, self.n, self.chars, self.learned = "", 0, 0, None
+        self.turns = hashlib.sha256()
 
     @staticmethod
     def plain(text: str) -> str:
@@ -94,43 +107,83 @@ class _Reader:
         self.left = self.left[at:]
 
     def learn(self, text: str) -> None:
-        own = self.plain(text)
-        self.loss_chars += len(own)
-        self.loss.update(own.encode("utf-8", "surrogatepass"))
+        self.learned = self.plain(text)
 
     def record(self) -> tuple:
         if self.left:
-            raise ValueError("a conversation's text ends within a turn")
-        return self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+            raise ValueError("an example's text ends within a turn")
+        return self.n, self.turns.hexdigest(), self.chars, self.learned
 
 
-def read_back(turns: DataFrame) -> DataFrame:
-    """Parses the formatted text: ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``.
+def read_examples(examples: DataFrame) -> DataFrame:
+    """Parses what ``expanded`` returns: ``conv_id, until, n_turns, turns_sha256, formatted_chars, learned`` of each example.
 
-    ``turns`` is what ``format_turns`` returns, whose partitions hold whole
-    conversations in order; each is read as one stream of text, of which only the
-    turn at hand is in memory.  The trainable text is what the examples' spans of
-    that stream hold.
+    An example is read as one stream of text, of which only the turn at hand is
+    in memory; ``learned`` is the trainable text, which its span of the stream holds.
     """
+    kind = type_of(examples, "conv_id")
+
     def run(batches):
         import pyarrow as pa
 
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         current, reader = None, None
         for batch in batches:
-            kinds = [batch.schema.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            kinds = [batch.schema.field("conv_id").type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
             rows = []
-            for c, text, start, a, b in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "formatted", "start", "loss_start", "loss_end"))):
-                if reader is None or c != current:
+            for c, until, text, start, a, b in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "until", "formatted", "start", "loss_start", "loss_end"))):
+                if reader is None or (c, until) != current:
                     if reader:
-                        rows.append((current, *reader.record()))
-                    current, reader = c, _Reader()
+                        rows.append((*current, *reader.record()))
+                    current, reader = (c, until), _Reader()
                 reader.read(text)
                 if a is not None:
                     reader.learn(text[a - start:b - start])
-            yield pa.RecordBatch.from_arrays([pa.array(column, t) for column, t in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
+            yield _records(pa, rows, kinds, _EXAMPLE)
         if reader:
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((current, *reader.record()), kinds)], names)
+            yield _records(pa, [(*current, *reader.record())], kinds, _EXAMPLE)
+
+    own = examples.select("conv_id", "until", "position", "formatted", "start", "loss_start", "loss_end")
+    own = own.repartition("conv_id", "until").sortWithinPartitions("conv_id", "until", "position")
+    return own.mapInArrow(run, f"conv_id {kind}, until long, n_turns long, turns_sha256 string, formatted_chars long, learned string")
+
+
+_EXAMPLE = ["conv_id", "until", "n_turns", "turns_sha256", "formatted_chars", "learned"]
+_CONVERSATION = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+
+def _records(pa, rows: list, kinds: list, names: list):
+    return pa.RecordBatch.from_arrays([pa.array(column, t) for column, t in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
 
-    return turns.select("conv_id", "formatted", "start", "loss_start", "loss_end").mapInArrow(
-        run, f"conv_id {type_of(turns, 'conv_id')}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+def read_back(turns: DataFrame) -> DataFrame:
+    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``, read from the examples of ``turns`` (what ``format_turns`` returns).
+
+    Each example is parsed by itself, wherever its conversation's others are; a
+    conversation's longest one tells of its turns, and what the examples train
+    is digested in their order.
+    """
+    turns = stored(turns, "turns")
+    kind = type_of(turns, "conv_id")
+
+    def run(batches):
+        import pyarrow as pa
+
+        current, of = None, None
+        for batch in batches:
+            kinds = [batch.schema.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            rows = []
+            for c, _, n, turns_, chars, learned in zip(*(column.to_pylist() for column in batch.columns)):
+                if of is None or c != current:
+                    if of:
+                        rows.append((current, of[0], of[1], loss_chars, loss.hexdigest(), of[2]))
+                    current, loss_chars, loss = c, 0, hashlib.sha256()
+                of = n, turns_, chars
+                if learned is not None:
+                    loss_chars += len(learned)
+                    loss.update(learned.encode("utf-8", "surrogatepass"))
+            yield _records(pa, rows, kinds, _CONVERSATION)
+        if of:
+            yield _records(pa, [(current, of[0], of[1], loss_chars, loss.hexdigest(), of[2])], kinds, _CONVERSATION)
+
+    read = read_examples(expanded(turns)).repartition("conv_id").sortWithinPartitions("conv_id", "until")
+    return read.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
