@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from trencher.llm import components, near_copies
+from trencher.llm import components, near_copies, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -86,3 +86,16 @@ def test_extra_columns_and_many_equal_texts(spark):
     given = spark.createDataFrame(rows, "doc_id long, text string, row long, md5 string")
     of = {r["node"]: r["root"] for r in near_copies.groups(given, "doc_id").collect()}
     assert of == {i: 1 for i in range(1, 60, 2)}
+
+
+def test_the_stage_searches_fingerprints(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    given = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, "of its own"), (4, None), (5, " ".join(words))]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    pairs = {(r["a"], r["b"]) for r in simhash.close_pairs(docs.where("doc_id IN (1, 2, 3)")).collect()}
+    assert pairs == {(1, 2)}
+    named = []
+    plain = simhash.close_pairs
+    monkeypatch.setattr(simhash, "close_pairs", lambda *a, **k: named.append(plain(*a, **k)) or named[-1])
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {1, 3, 4} and named[0].count() == 1

@@ -92,6 +92,16 @@ def links(classes: DataFrame, fine_above: int = FINE_ABOVE) -> DataFrame:
     return met.where((F.col("x") != F.col("y")) & (differ <= DISTANCE)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def close_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """``a, b``: keys, unique longs, whose texts' fingerprints are equal or near, enough to connect all of which this is true."""
+    rows = stored(fingerprints(docs, key, text, width), "fingerprints")
+    classes = stored(rows.groupBy("fingerprint").agg(F.min("key").alias("first")), "classes")
+    equal = rows.join(classes, "fingerprint").where("key != first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    of = lambda c: classes.select(F.col("fingerprint").alias(c), F.col("first").alias(f"{c}_first"))
+    near = links(classes).join(of("a"), "a").join(of("b"), "b").select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))
+    return equal.unionByName(near)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """``key`` (under its own name but where that is one of the others'), ``fingerprint`` and ``component_id`` for every row; other columns are not read.
 
