@@ -23,8 +23,14 @@ def _trust() -> Column:
     return trust
 
 
-def _keys() -> list[Column]:
-    return [F.coalesce(match_name(F.col(c)), F.lit("")).alias(f"{c}_key") for c in PLACE]
+def keyed(df: DataFrame, *columns: str) -> DataFrame:
+    """Adds the keys of names, best where each name is one row: the merges take them as they are."""
+    return df.select("*", *[match_name(F.col(c)).alias(f"{c}_key") for c in columns])
+
+
+def _keys(rows: DataFrame) -> list[Column]:
+    own = lambda c: F.col(f"{c}_key") if f"{c}_key" in rows.columns else match_name(F.col(c))
+    return [F.coalesce(own(c), F.lit("")).alias(f"{c}_key") for c in PLACE]
 
 
 def merge_sources(rows: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -37,7 +43,7 @@ def merge_sources(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     aggregates combine on the map side, so a dish that most rows name is one
     partial row per task.
     """
-    trust, keys = _trust(), _keys()
+    trust, keys = _trust(), _keys(rows)
     price = F.when(F.col("price") != 0, F.col("price"))
     first = F.min_by(F.struct("_trust", *CARRIED), F.struct((-F.col("_trust")).alias("t"), *order)).alias("first")
     merged = rows.withColumn("_trust", trust).groupBy(*keys).agg(
@@ -56,8 +62,10 @@ def price_conflicts(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     said, so a dish that most rows name is no long list.
     """
     names = [f"{c}_key" for c in PLACE]
-    said = rows.withColumn("_trust", _trust()).where("price != 0").select(*_keys(), "_trust", "source", F.col("price").cast("double").alias("price"), *order)
-    low, high = F.min("price"), F.max("price")
-    apart = said.groupBy(*names).agg(F.count("*").alias("n"), F.try_divide(high - low, low).alias("spread")).where((F.col("n") >= 2) & (F.col("spread") > PRICE_SPREAD))
-    place = F.row_number().over(Window.partitionBy(*names).orderBy(F.desc("_trust"), *order))
-    return said.join(apart.select(*names), names, "left_semi").select(*names, place.alias("at"), "source", "price")
+    said = rows.withColumn("_trust", _trust()).where("price != 0").select(*_keys(rows), "_trust", "source", F.col("price").cast("double").alias("price"), *order)
+    # One shuffle and one sort give the places and the prices' spread.
+    dish = Window.partitionBy(*names)
+    low, high = F.min("price").over(dish), F.max("price").over(dish)
+    placed = said.select(*names, F.row_number().over(dish.orderBy(F.desc("_trust"), *order)).alias("at"), "source", "price")
+    apart = placed.select("*", F.count("*").over(dish).alias("n_"), F.try_divide(high - low, low).alias("spread_"))
+    return apart.where((F.col("n_") >= 2) & (F.col("spread_") > PRICE_SPREAD)).drop("n_", "spread_")

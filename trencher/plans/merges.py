@@ -35,8 +35,8 @@ def merged_sources(cat):
 def _said(cat):
     n = cat.nutrition.select(*ORDER, "restaurant_id", "confidence_score", F.expr(PRICE).alias("price"),
                              F.element_at(F.array(*map(F.lit, SOURCES)), ((F.col("item_id") + F.col("confidence_score")) % 7 + 1).cast("int")).alias("source"))
-    places = cat.restaurants.join(cat.parks, "park_id", "left")
-    return n.join(cat.items.select("item_id", "name", "description", "category"), "item_id").join(places, "restaurant_id", "left")
+    places = merge.keyed(cat.restaurants.join(cat.parks, "park_id", "left"), "restaurant_name", "park_name")
+    return n.join(merge.keyed(cat.items.select("item_id", "name", "description", "category"), "name"), "item_id").join(places, "restaurant_id", "left")
 
 
 @query("price_conflicts", KEYED + """, priced AS (SELECT * FROM keyed WHERE price <> 0)
