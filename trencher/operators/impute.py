@@ -16,6 +16,7 @@ from trencher.functions.vocab import dishes as DI
 from trencher.functions.vocab import impute as V
 from trencher.functions.vocab import pours as P
 from trencher.operators.fixes import emit
+from trencher.operators.matching import spread
 
 NAME = lambda: F.lower("name")
 
@@ -422,7 +423,8 @@ def refine_alcohol(wide: DataFrame) -> DataFrame:
 def tag_allergens(items: DataFrame, existing: DataFrame) -> DataFrame:
     """New (item, allergen) pairs; "contains" words win over "may contain" words."""
     text = F.lower(F.concat_ws(" ", "name", F.coalesce("description", F.lit("")), "category"))
-    rows = items.withColumn("_text", text)
+    # Dozens of patterns a row: a small file is more work than one task should do.
+    rows = spread(items.select("item_id", text.alias("_text")))
     t = F.col("_text")
     hits = []
     for allergen, contains, may, exclude in V.ALLERGENS:
