@@ -216,3 +216,12 @@ def test_photos_against_taking_turns(spark):
             want[photo] = min(scores)[1]
     found = resolve.match_photos(spark.createDataFrame(photos, "photo_id long, park string, keywords array<string>"), spark.createDataFrame(items, "item_id long, park string, name string"))
     assert {r["photo_id"]: r["item_id"] for r in found.collect()} == want
+
+
+def test_repeated_photos_and_items(spark):
+    # An item is taken once, under whatever name; a repeated photo has a turn for each row.
+    items = spark.createDataFrame([(1, "p", "Grilled Chicken"), (1, "p", "Grilled Chicken"), (2, "p", "Grilled Chicken"), (2, "p", "Turkey Leg"), (3, "p", "Turkey Leg")], "item_id long, park string, name string")
+    photos = [(1, "p", ["grilled", "chicken"]), (2, "p", ["grilled", "chicken"]), (3, "p", ["turkey", "legs", "turkey"]), (4, "p", ["turkey", "large", "turkey"])]
+    rows = lambda given: sorted(tuple(r)[:2] for r in resolve.match_photos(spark.createDataFrame(given, "photo_id long, park string, keywords array<string>"), items).collect())
+    assert rows(photos) == [(1, 1), (1, 1), (2, 2), (3, 3)]
+    assert rows([photos[0], photos[0]]) == [(1, 1)] * 4 + [(1, 2)] * 2
