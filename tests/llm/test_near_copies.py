@@ -99,3 +99,19 @@ def test_the_stage_searches_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(simhash, "close_pairs", lambda *a, **k: named.append(plain(*a, **k)) or named[-1])
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert kept == {1, 3, 4} and named[0].count() == 1
+
+
+def test_exploded_and_wide_rows_are_not_broadcast(spark, tmp_path, capsys):
+    values = np.random.default_rng(3).integers(-1 << 62, 1 << 62, 2000).tolist()
+    spark.createDataFrame([(v,) for v in values], "fingerprint long").write.parquet(f"{tmp_path}/classes")
+    spark.createDataFrame([(i, 1000, bytes(4096)) for i in range(500)], "row long, size int, sketch binary").write.parquet(f"{tmp_path}/sketches")
+    spark.createDataFrame([(i, i + 1) for i in range(400)], "a long, b long").write.parquet(f"{tmp_path}/pairs")
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    capsys.readouterr()
+    simhash.links(read("classes")).explain()
+    plan = capsys.readouterr().out
+    met = [line for line in plan.splitlines() if "Join [half" in line and "fine" in line]
+    assert met and all("SortMergeJoin" in line for line in met)
+    near_copies._not_excluded(read("pairs"), read("sketches")).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan

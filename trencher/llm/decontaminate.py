@@ -88,10 +88,9 @@ def _bitmap(hashes: DataFrame) -> bytes:
 
     at = F.explode(F.array(F.pmod("shingle", F.lit(FILTER_BITS)), F.pmod(F.shiftrightunsigned("shingle", 32), F.lit(FILTER_BITS))))
     rows = hashes.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("i")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias("bits")).collect()
+        F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in rows:
-        out[r["i"]] = r["bits"]
+    out[rows.column("i").to_numpy()] = rows.column("bits").to_numpy()
     return out.tobytes()
 
 

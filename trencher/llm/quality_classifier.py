@@ -107,17 +107,16 @@ def _chosen(sample: DataFrame) -> list[list[str]]:
     return out
 
 
-def regression(rows: list[list[int]], bad, n_features: int):
-    """Weights and intercept of a ridge logistic regression on sets of features."""
+def regression(of, at, bad, n_features: int):
+    """Weights and intercept of a ridge logistic regression on sets of features: row ``of[i]`` has feature ``at[i]``."""
     import numpy as np
 
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    at = np.concatenate([np.zeros(0, np.int64), *(np.array(r, np.int64) for r in rows)])
-    n, k = len(rows), n_features
+    n, k = len(bad), n_features
+    each = np.empty(len(at))
     w, first, second = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, ROUNDS + 1):
-        error = (1 / (1 + np.exp(-(np.bincount(of, weights=w[at], minlength=n) + w[k]))) - bad) / n
-        slope = np.append(np.bincount(at, weights=error[of], minlength=k) + RIDGE * w[:k], error.sum())
+        error = (1 / (1 + np.exp(-(np.bincount(of, weights=np.take(w, at, out=each, mode="clip"), minlength=n) + w[k]))) - bad) / n
+        slope = np.append(np.bincount(at, weights=np.take(error, of, out=each, mode="clip"), minlength=k) + RIDGE * w[:k], error.sum())
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope * slope
         w -= RATE * first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.99**t)) + 1e-9)
     return w[:k], w[k]
@@ -126,6 +125,7 @@ def regression(rows: list[list[int]], bad, n_features: int):
 def _fitted(sample: DataFrame) -> tuple[dict[str, tuple[float, ...]], list[float]]:
     """Weights of each feature, and what each classifier adds so that the sum is a log likelihood ratio."""
     import numpy as np
+    import pyarrow.compute as pc
 
     chosen = _chosen(sample)
     code = {f: i for i, f in enumerate(dict.fromkeys(f for fs in chosen for f in fs))}
@@ -141,16 +141,22 @@ def _fitted(sample: DataFrame) -> tuple[dict[str, tuple[float, ...]], list[float
             yield pa.RecordBatch.from_arrays([*[batch.column(b) for b in BAD], pa.array(found, pa.list_(pa.int32()))], [*BAD, "found"])
 
     rows = sample.mapInArrow(run, ", ".join(f"{b} int" for b in BAD) + ", found array<int>").toArrow()  # `SAMPLE` rows at most
+    # Kept as arrays: lists of numbers would take many times the memory of the driver.
+    sizes = pc.list_value_length(rows.column("found")).to_numpy()
+    codes = pc.list_flatten(rows.column("found")).to_numpy()
     weights, added = np.zeros((len(code), len(BAD))), []
     for k, b in enumerate(BAD):
-        own = {code[f]: i for i, f in enumerate(chosen[k])}
-        known = [(y, [own[f] for f in found if f in own]) for y, found in zip(rows.column(b).to_pylist(), rows.column("found").to_pylist()) if y is not None]
-        if not own:
+        if not chosen[k]:
             added.append(0.0)
             continue
-        bad = np.array([y for y, _ in known], float)
-        w, intercept = regression([found for _, found in known], bad, len(own))
-        weights[list(own), k] = w
+        own = np.array([code[f] for f in chosen[k]])
+        place = np.full(len(code), -1)
+        place[own] = np.arange(len(own))
+        known = rows.column(b).is_valid().to_numpy()
+        wanted = np.repeat(known, sizes) & (place[codes] >= 0)
+        bad = rows.column(b).drop_null().to_numpy().astype(float)
+        w, intercept = regression(np.repeat(np.cumsum(known) - 1, sizes)[wanted], place[codes[wanted]], bad, len(own))
+        weights[own, k] = w
         added.append(float(intercept - np.log(bad.mean() / (1 - bad.mean()))))
     return {f: tuple(weights[i].tolist()) for f, i in code.items()}, added
 

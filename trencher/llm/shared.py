@@ -4,7 +4,8 @@ Lineage is cut by writing a table there and reading it again: a lost executor
 then costs the re-run of its tasks only, and a table that was numbered once
 keeps its numbers.  The size of a table read back is known to the planner, so a
 join with it is broadcast only below ``spark.sql.autoBroadcastJoinThreshold``
-and shuffled beyond it.
+and shuffled beyond it.  That size is the compressed file's, and exploding adds
+nothing to it: joins of tables that grow much in memory ask for a merge.
 """
 
 from __future__ import annotations

@@ -87,7 +87,8 @@ def links(classes: DataFrame, fine_above: int = FINE_ABOVE) -> DataFrame:
         keys = F.concat(_near(upper, 16, True), F.transform(_near(lower, 16, True), lambda k: k + quarter)) if ball else F.array(upper, lower + quarter)
         return df.join(hot, "half", "left").select("fingerprint", "half", F.explode(F.when(F.col("hot"), keys).otherwise(F.array(F.lit(-1).cast("long")))).alias("fine"))
 
-    met = fine(table, False).withColumnRenamed("fingerprint", "x").join(fine(probe, True).withColumnRenamed("fingerprint", "y"), ["half", "fine"])
+    # The planner takes exploded rows for no more than the rows they come from, so it must be told not to broadcast them.
+    met = fine(table, False).withColumnRenamed("fingerprint", "x").hint("merge").join(fine(probe, True).withColumnRenamed("fingerprint", "y"), ["half", "fine"])
     differ = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
     return met.where((F.col("x") != F.col("y")) & (differ <= DISTANCE)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
