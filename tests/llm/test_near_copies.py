@@ -1,9 +1,10 @@
 """The near-duplicate stage against brute force, with copies planted at 0.8 to 0.95."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trencher.llm import components, near_copies, simhash
+from trencher.llm import components, near_copies, shared, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -115,3 +116,45 @@ def test_exploded_and_wide_rows_are_not_broadcast(spark, tmp_path, capsys):
     near_copies._not_excluded(read("pairs"), read("sketches")).explain()
     plan = capsys.readouterr().out
     assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+
+
+def test_texts_and_sketches_are_not_shuffled_whole(spark, monkeypatch, capsys):
+    plans, plain = {}, shared.stored
+
+    def written(df, name):
+        capsys.readouterr()
+        df.explain("formatted")
+        moved = [p for p in capsys.readouterr().out.split("\n\n") if ") Exchange\n" in p]
+        plans.setdefault(name, []).extend(moved)
+        return plain(df, name)
+
+    monkeypatch.setattr(near_copies, "stored", written)
+    monkeypatch.setattr(simhash, "stored", written)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = [*planted()[:12], *planted()[:4]]
+        given = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+        kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, given, "").collect()}
+        assert len(kept) < 12 and max(kept) < 12
+        assert plans["fingerprints"] and plans["shared"]
+        assert not [name for name, moved in plans.items() if name != "sets" and any(" text#" in p or "[text#" in p for p in moved)]
+        assert not [name for name, moved in plans.items() if name != "pairs" and any("sketch#" in p for p in moved)]
+        many = spark.range(20_000).select(F.col("id").alias("row"), F.concat(F.lit("text "), "id").alias("text"))
+        nodes = spark.createDataFrame([(i,) for i in (3, 77, 19_999)], "row long")
+        among = near_copies._among(many, nodes)
+        assert {tuple(r) for r in among.collect()} == {(i, f"text {i}") for i in (3, 77, 19_999)}
+        assert near_copies._among(many, nodes.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_texts_with_and_without_copies_meet_the_same(spark, monkeypatch):
+    texts = [*planted()[:14], *planted()[:7], *planted()[:3]]
+    given = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    few = {tuple(r) for r in near_copies.groups(given, "doc_id").collect()}
+    # A bitmap without empty bits: every text is taken for one that may have copies.
+    plain = near_copies._shingled
+    monkeypatch.setattr(near_copies, "_shingled", lambda t, common, repeated: plain(t, common, b"\xff" * len(repeated)))
+    assert {tuple(r) for r in near_copies.groups(given, "doc_id").collect()} == few
+    assert {node for node, _ in few} >= set(range(14, 24))

@@ -93,9 +93,13 @@ def links(classes: DataFrame, fine_above: int = FINE_ABOVE) -> DataFrame:
     return met.where((F.col("x") != F.col("y")) & (differ <= DISTANCE)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def close_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``a, b``: keys, unique longs, whose texts' fingerprints are equal or near, enough to connect all of which this is true."""
-    rows = stored(fingerprints(docs, key, text, width), "fingerprints")
+def close_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, copies: DataFrame | None = None) -> DataFrame:
+    """``a, b``: keys, unique longs, whose texts' fingerprints are equal or near, enough to connect all of which this is true.
+
+    ``copies``: keys to leave out; fingerprints meet them, as texts would be far more to shuffle.
+    """
+    own = fingerprints(docs, key, text, width)
+    rows = stored(own if copies is None else own.join(copies.toDF("key"), "key", "left_anti"), "fingerprints")
     classes = stored(rows.groupBy("fingerprint").agg(F.min("key").alias("first")), "classes")
     equal = rows.join(classes, "fingerprint").where("key != first").select(F.col("first").alias("a"), F.col("key").alias("b"))
     of = lambda c: classes.select(F.col("fingerprint").alias(c), F.col("first").alias(f"{c}_first"))
