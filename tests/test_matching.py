@@ -86,6 +86,30 @@ def test_contained_pairs_lose_none(both, spark):
     assert found == pairs(left, right, lambda x, y: x in y or y in x)
 
 
+def long_names(seed):
+    """Names around ``GRAM`` and ``LONG`` characters and parts of them from everywhere."""
+    rng = random.Random(seed)
+    whole = ["".join(rng.choices("ab c", k=n)) for n in (3, 63, 64, 65, 255, 256, 257, 300, 700)]
+    parts = [n[at:at + m] for n in whole for m in (1, 62, 63, 64, 65, 200, 256, 257, 290) if m <= len(n) for at in (0, rng.randrange(len(n) - m + 1), len(n) - m)]
+    return whole + parts[::2], whole + parts[1::2]
+
+
+def test_contained_pairs_lose_no_long_names(spark):
+    left, right = long_names(3)
+    given = lambda names: spark.createDataFrame([("p", n) for n in names], NAMES)
+    found = {tuple(r)[1:3] for r in matching.contained_pairs(given(left), given(right)).collect()}
+    assert found == {(x, y) for x in left for y in right if x in y or y in x}
+    assert any(len(x) > matching.LONG and matching.GRAM <= len(y) < len(x) for x, y in found) and any(len(y) > matching.LONG and matching.GRAM <= len(x) < len(y) for x, y in found)
+
+
+def test_a_long_restaurant_name_holds_the_one_asked_for(spark):
+    short = "pecos bill tall tale inn and cafe by the rivers of america on the frontier"
+    wide = spark.createDataFrame([(1, 5, f"{short} {'far west ' * 40}", "Park", "Turkey Leg", None, None)],
+                                 "item_id long, restaurant_id long, restaurant_name string, park_name string, name string, description string, photo_url string")
+    dish = spark.createDataFrame([(1, "Park", short, "Turkey Leg", "big", None)], "dish_id long, park string, restaurant string, name string, description string, photo_url string")
+    assert [tuple(r) for r in resolve.enrich_from_menus(dish, wide).collect()] == [(1, 1, 1.0, "restaurant", True, False)]
+
+
 def test_park_names(spark):
     left = spark.createDataFrame([("MAGIC",), ("",), ("Kingdom",), ("kingdoms",)], "name string")
     right = spark.createDataFrame([(1, "Magic Kingdom"), (2, "Animal Kingdom")], "id long, name string")
