@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from trencher.operators import chains
+from trencher.operators import chains, matching
 
 WORDS = ("fish", "fry", "big", "red", "ox", "of", "taco", "burger", "zest")
 
@@ -42,6 +42,19 @@ def test_against_a_plain_version(spark):
     assert {b[2] for b in best.values()} == {"no match", "no record", "trusted", "updated"}
 
 
+def test_long_names_meet_what_they_hold(spark):
+    chain = "the grand old smokehouse and trading company of the northern lakes"
+    dish = "slow smoked brisket with seven pickles, two breads, three sauces and a side"
+    places = [(1, f"Best of the west: {chain.title()} {'far away ' * 30}"), (2, "Other")]
+    items = [(1, 1, f"{'very ' * 60}{dish}", "n1", 40), (2, 1, dish[:70], "n2", 99), (3, 2, dish, "n3", 40)]
+    given = [(1, chain, None, dish), (2, "none", [chain.upper()], dish[:70]), (3, chain, None, f"{dish} {'every day ' * 30}")]
+    found = chains.match_chains(spark.createDataFrame(given, "chain_item_id long, chain string, aliases array<string>, name string"),
+                                spark.createDataFrame(places, "restaurant_id long, restaurant_name string"),
+                                spark.createDataFrame(items, "item_id long, restaurant_id long, name string, nutrition_id string, confidence_score int"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 0.9, "updated", True), (2, 2, 1.0, "trusted", False), (3, 2, 0.9, "trusted", False)]
+    assert min(map(len, (places[0][1], items[0][2], given[2][3]))) > matching.LONG and min(map(len, (chain, dish[:70]))) >= matching.GRAM
+
+
 def test_plain_names(spark):
     rows = [("Mega™ Fries (Large) ", "mega fries"), ("A - B", "a b"), ("Big  (one) Mac", "big mac"), ("", ""), (None, None)]
     got = spark.createDataFrame(rows, "name string, want string").select(chains.plain_name(F.col("name")).alias("got"), "want").collect()

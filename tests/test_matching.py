@@ -117,6 +117,13 @@ def test_park_names(spark):
     assert found == [("", 1), ("", 2), ("kingdom", 1), ("kingdom", 2), ("magic", 1)]
 
 
+def test_long_names_hold_those_asked_for(spark):
+    left, right = long_names(4)
+    known = [(i, x) for i, x in enumerate([*right, right[-1]])]
+    found = sorted(tuple(r) for r in matching.within(spark.createDataFrame([(n,) for n in left], "name string"), spark.createDataFrame(known, "id long, name string")).collect())
+    assert found == sorted((x, i) for x in set(left) for i, y in known if x in y)
+
+
 def test_assignment_equals_taking_turns(spark):
     rng = random.Random(7)
     wishes = {w: rng.sample(range(25), rng.randrange(1, 12)) for w in range(8)}
