@@ -46,3 +46,10 @@ def test_pages(spark):
     assert found[1] == [(1, "Fish & Chips", "crisp", 12.5, None)] and len(found[6]) == 5000 and found[6][-1] == (5000, "Very long", None, 3.0, None)
     assert found[2] == [(1, "Home", None, None, None), (2, "Corn Dog", None, 6.25, "side"), (3, "Churro", None, None, "dessert")] and not found.keys() & {3, 4, 5}
     assert [r["name"] for r in menus.menu_pages(given.where("page_id = 2"), scope="article").collect()] == ["Corn Dog", "Churro"]
+
+
+def test_a_page_is_parsed_once(spark):
+    given = spark.createDataFrame([(1, "<tr><td>Fish</td></tr>")], "page_id long, html string")
+    plan = menus.menu_pages(given)._jdf.queryExecution().optimizedPlan().toString()
+    # Rows, items and cells each once; comments are taken out of three cells of a row and of an item.
+    assert [plan.count(part) for part in ("<tr(", "<li(", "<td(", "<!--")] == [1, 1, 1, 4]
