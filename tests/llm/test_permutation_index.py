@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from trencher.llm import permutation_index
+from trencher.llm import permutation_index, shared
 
 ROWS = "vec_id long, embedding array<float>, label int, class long"
 
@@ -64,3 +64,36 @@ def test_one_class_with_a_third_of_all_rows(spark):
     got = found(spark, rows, 100)
     assert got[0] == [(0.0, i) for i in range(1, 11)] and got[100] == [(0.0, i) for i in range(10)]
     assert len(got) == 9
+
+
+def test_rough_distances_lose_none():
+    rng = np.random.default_rng(6)
+    for vectors in (rng.normal(size=(500, 16)), 1e8 + 1e-6 * rng.normal(size=(500, 16)), np.repeat(rng.normal(size=(50, 16)), 10, 0), 1e-160 * rng.normal(size=(500, 16)), 1e160 * rng.normal(size=(500, 16))):
+        pivots = permutation_index._spread(vectors, 32)
+        prefixes = permutation_index._prefixes(vectors, pivots, 12)
+        files = permutation_index._inverted(prefixes, len(pivots))
+        with np.errstate(over="ignore", invalid="ignore"):
+            for q, p, *rough in zip(vectors[:40], prefixes, *permutation_index._rough(vectors[:40], vectors)):
+                place = {pivot: x for x, pivot in enumerate(p)}
+                common = np.array([sum(12 - max(x, place[pivot]) for x, pivot in enumerate(own) if pivot in place) for own in prefixes])
+                near = np.nonzero(common >= np.sort(common)[-125])[0]
+                distance = ((vectors[near] - q) ** 2).sum(1)
+                best = distance <= np.sort(distance)[9]
+                rows, own = permutation_index._found(q, p, files, vectors, *rough, 0.25, 64, 10)
+                assert rows.tolist() == near[best].tolist() and own.tolist() == distance[best].tolist()
+
+
+def test_queries_are_not_copied_for_each_tile_nor_vectors_compared_as_keys(spark, monkeypatch):
+    plans, plain = {}, shared.stored
+
+    def written(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(permutation_index, "stored", written)
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(300)]
+    got = found(spark, rows, 50, tile_rows=64)
+    assert {i: [x for _, x in own] for i, own in got.items()} == {i: [x for _, x in own] for i, own in nearest(rows, 50)}
+    assert "Generate" not in plans["near_classes"]
+    assert "normalizenanandzero" not in plans["of_class"] + plans["classes"]

@@ -11,7 +11,7 @@ pivot.  The nearest ``SHARE`` of each tile by footrule, ties included, are
 reranked by their true distance there, where their vectors are; the best of all
 tiles are the result.
 
-No pair of rows is shuffled: queries travel in tiles, too, and each tile of
+No pair of rows is shuffled: queries come in tiles, too, and each tile of
 vectors meets each tile of queries once.  Equal vectors are one class, which is
 indexed once; the result lists its rows.
 """
@@ -32,6 +32,7 @@ LEAST = 64
 TILE_ROWS = 4096
 TILE_BYTES = 1 << 24
 NEAREST = 10
+ASKED_AT_ONCE = 256
 
 
 def _usable(vector: str):
@@ -100,27 +101,40 @@ def _tiles(classes: DataFrame, tiles: int, rows: int, dimension: int) -> DataFra
 
 
 def _inverted(prefixes, pivots: int):
-    """The inverted file of each pivot: numbers of vectors, and ``m - place`` for each."""
+    """The inverted file of each pivot, as a row: ``m - place`` of each vector that has it in its prefix, 0 for the others."""
     import numpy as np
 
     n, m = prefixes.shape
-    flat = prefixes.ravel()
-    order = np.argsort(flat, kind="stable")
-    ends = np.searchsorted(flat[order], np.arange(pivots + 1))
-    return [((own := order[i:j]) // m, m - own % m) for i, j in zip(ends, ends[1:])]
+    files = np.zeros((pivots, n), np.uint16 if m <= 256 else np.uint32)  # a sum over a prefix is m (m + 1) / 2 at most
+    files[prefixes, np.arange(n)[:, None]] = m - np.arange(m)
+    return files
 
 
-def _found(query, prefix, files, vectors, share: float, least: int, k: int):
-    """The ``k`` nearest vectors of a tile among those nearest by footrule: numbers and squared distances."""
+def _rough(queries, vectors):
+    """Squared distances by one product of matrices, and for each query how far they may be from those of differences."""
+    import numpy as np
+
+    own, other = (queries ** 2).sum(1), (vectors ** 2).sum(1)
+    longest = np.sqrt(own) + np.sqrt(other.max())
+    slack = 4 * (vectors.shape[1] + 8) * (np.finfo(float).eps * longest ** 2 + np.finfo(float).tiny)
+    return own[:, None] + other - 2 * (queries @ vectors.T), slack
+
+
+def _found(query, prefix, files, vectors, rough, slack, share: float, least: int, k: int):
+    """The ``k`` nearest vectors of a tile among those nearest by footrule: numbers and squared distances.
+
+    ``rough`` distances, right to ``slack``, leave out what cannot be among the ``k``, so few differences are made.
+    """
     import numpy as np
 
     n, m = len(vectors), len(prefix)
-    common = np.zeros(n, np.int32)  # half of what common pivots take from the footrule distance
-    for place, pivot in enumerate(prefix):
-        rows, own = files[pivot]
-        common[rows] += np.minimum(own, m - place).astype(np.int32)
+    # Half of what common pivots take from the footrule distance.
+    common = np.minimum(files[prefix], (m - np.arange(m)).astype(files.dtype)[:, None]).sum(0, dtype=files.dtype)
     wanted = min(n, max(least, int(np.ceil(share * n))))
     near = np.nonzero(common >= np.partition(common, n - wanted)[n - wanted])[0]
+    if len(near) > k:
+        rough = rough[near]
+        near = near[~(rough > np.partition(rough, k - 1)[k - 1] + 2 * slack)]  # what is not a number stays
     distance = ((vectors[near] - query) ** 2).sum(1)
     if len(near) > k:
         best = np.nonzero(distance <= np.partition(distance, k - 1)[k - 1])[0]
@@ -155,17 +169,19 @@ def nearest_classes(classes: DataFrame, queries: DataFrame, k: int, pivots: int
                     files = _inverted(_prefixes(vectors, chosen, m), len(chosen))
                 asked, wanted = np.frombuffer(asked, np.int64), np.frombuffer(wanted).reshape(-1, dimension)
                 out = ([], [], [])
-                for q, v, p in zip(asked, wanted, _prefixes(wanted, chosen, m)):
-                    near, distance = _found(v, p, files, vectors, share, LEAST, k)
-                    for column, values in zip(out, (np.full(len(near), q), ids[near], np.sqrt(distance))):
-                        column.append(values)
+                for at in range(0, len(asked), ASKED_AT_ONCE):
+                    block = wanted[at:at + ASKED_AT_ONCE]
+                    for q, v, p, *rough in zip(asked[at:], block, _prefixes(block, chosen, m), *_rough(block, vectors)):
+                        near, distance = _found(v, p, files, vectors, *rough, share, LEAST, k)
+                        for column, values in zip(out, (np.full(len(near), q), ids[near], np.sqrt(distance))):
+                            column.append(values)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query", "class", "score"])
 
     tiles = stored(_tiles(classes, numbers, rows, dimension), "tiles")
     asked = _tiles(queries, max(1, -(-queries.count() // rows)), rows, dimension)
     asked = stored(asked.select(F.col("ids").alias("asked"), F.col("vectors").alias("wanted")), "query_tiles")
-    # The stated queries against all rows, tile by tile.
-    met = tiles.join(asked.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(numbers - 1)))), "tile")
+    # The stated queries against all rows, tile by tile; no copy of the queries for each tile is broadcast or shuffled.
+    met = tiles.crossJoin(asked)
     found = met.select("ids", "vectors", "asked", "wanted").mapInArrow(searched, "query long, class long, score double")
     place = F.rank().over(Window.partitionBy("query").orderBy("score"))
     return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
@@ -181,9 +197,12 @@ def search(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", ever
     followed.  Other columns are not read; an empty table gives an empty one.
     """
     given = rows.select(F.col(f"`{key}`").alias("id"), _usable(vector).alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL")
-    given = stored(given.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    classes = stored(given.groupBy("vector").agg(F.min("row").alias("class")), "classes")
-    of = stored(given.join(classes, "vector").select("id", "row", "class"), "of_class")
+    # Equal vectors meet by 128 bits of hashes: as keys, arrays would be brought to a normal form in every comparison.
+    given = given.select("*", F.monotonically_increasing_id().alias("row"), F.xxhash64("vector").alias("h"), F.xxhash64(F.lit(1), "vector").alias("g"))
+    given = stored(given, "vectors")
+    firsts = given.groupBy("h", "g").agg(F.min("row").alias("class"))
+    of = stored(given.select("id", "row", "h", "g").join(firsts, ["h", "g"]).select("id", "row", "class"), "of_class")
+    classes = stored(given.select(F.col("row").alias("class"), "vector").join(of.where("row = class").select("class"), "class", "left_semi"), "classes")
     asked = of.where(F.col("id") % every == 0)
     queries = classes.join(asked.select("class").distinct(), "class", "left_semi")
     near = stored(nearest_classes(classes, queries, k + 1, **parameters), "near_classes")
